@@ -1,0 +1 @@
+"""No operator of this engine is a streaming operator: the inventory is batch only, so nothing lives here."""
