@@ -2,5 +2,61 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyframe.plans import airline
+from tallyframe.sources import records
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- p2: rows that fail to parse -------------------------------------------------------------------------------------
+
+CHECKS = {**{c: records.hhmm for c in airline.TIMES}, "TailNum": records.matches(airline.TAIL_NUMBER)}
+
+
+def parsed_lines(spark: SparkSession, d: str, values: bool) -> DataFrame:
+    return records.parse_records(table(spark, d, "airline_raw"), "line", airline.SCHEMA, CHECKS, ["rec_id"], values)
+
+
+def _p2_sql() -> str:
+    field = r'"(?:[^"]|"")*"|[^",]*'
+    ints = [i + 1 for i, c in enumerate(airline.COLUMNS) if c not in airline.TEXT]
+    times = [airline.COLUMNS.index(c) + 1 for c in airline.TIMES]
+    tail = airline.COLUMNS.index("TailNum") + 1
+    int_bad = " OR ".join(f"(v[{i}] IS NOT NULL AND (NOT regexp_full_match(v[{i}], '[+-]?[0-9]+') OR TRY_CAST(v[{i}] AS INTEGER) IS NULL))" for i in ints)
+    time_bad = " OR ".join(f"coalesce(TRY_CAST(v[{i}] AS INTEGER) NOT BETWEEN 0 AND 2400 OR TRY_CAST(v[{i}] AS INTEGER) % 100 >= 60, false)" for i in times)
+    return f"""
+    WITH s AS (SELECT rec_id, regexp_replace(coalesce(line, ''), '\\r$', '') AS s FROM airline_raw),
+    q AS (SELECT rec_id, s, regexp_full_match(s, '(?:{field})(?:,(?:{field}))*') AS ok FROM s),
+    f AS (SELECT rec_id, ok, CASE WHEN ok THEN regexp_extract_all(',' || s, ',({field})', 1) END AS f FROM q),
+    u AS (SELECT rec_id, ok, len(f) AS n, list_transform(f, lambda x: trim(CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END, chr(9) || ' ')) AS t FROM f),
+    v AS (SELECT rec_id, ok, n, list_transform(t, lambda x: CASE WHEN x IN ('', 'NA') THEN NULL ELSE x END) AS v FROM u),
+    r AS (SELECT rec_id, v, CASE WHEN NOT ok THEN 'quoting' WHEN n <> {len(airline.COLUMNS)} THEN 'columns'
+        WHEN {int_bad} OR {time_bad} OR (v[{tail}] IS NOT NULL AND NOT regexp_full_match(v[{tail}], 'N[A-Z0-9]{{2,5}}')) THEN 'value' END AS reason FROM v)
+    """
+
+
+@query("p2_found", _p2_sql() + "SELECT rec_id, reason FROM r WHERE reason IS NOT NULL")
+def p2_found(spark, d):
+    return parsed_lines(spark, d, False).where("reason is not null").select("rec_id", "reason")
+
+
+@query("p2_loaded", _p2_sql() + "SELECT rec_id, " + ", ".join(f"v[{i + 1}] AS {c}" if c in airline.TEXT else f"CAST(v[{i + 1}] AS INTEGER) AS {c}" for i, c in enumerate(airline.COLUMNS)) + " FROM r WHERE reason IS NULL")
+def p2_loaded(spark, d):
+    return records.split(parsed_lines(spark, d, True))[0]
