@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyframe.operators import heavy
 from tallyframe.plans import airline
 from tallyframe.sources import records
 
@@ -60,3 +62,43 @@ def p2_found(spark, d):
 @query("p2_loaded", _p2_sql() + "SELECT rec_id, " + ", ".join(f"v[{i + 1}] AS {c}" if c in airline.TEXT else f"CAST(v[{i + 1}] AS INTEGER) AS {c}" for i, c in enumerate(airline.COLUMNS)) + " FROM r WHERE reason IS NULL")
 def p2_loaded(spark, d):
     return records.split(parsed_lines(spark, d, True))[0]
+
+
+# --- p3: a few keys holding most records -----------------------------------------------------------------------------
+
+HEAVY_SHARE = 0.05
+KEYS = ["Origin", "UniqueCarrier"]
+
+
+@query(
+    "p3_found",
+    " UNION ALL ".join(f"SELECT '{c}' AS key_column, {c} AS key_value FROM airline WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM airline)" for c in KEYS),
+)
+def p3_found(spark, d):
+    return heavy.heavy_keys(table(spark, d, "airline").select(*KEYS), KEYS, HEAVY_SHARE).select("key_column", "key_value")
+
+
+def _p3_figures() -> tuple[dict, dict]:
+    parts: dict = {"rows": F.count(F.lit(1))}
+    finals: dict = {"n_rows": F.col("rows")}
+    for c in ("ArrDelay", "DepDelay"):
+        v = F.when(F.col(c).between(airline.DELAY_LOW, airline.DELAY_HIGH), F.col(c).cast("bigint"))
+        parts |= {f"n_{c}": F.count(v), f"sum_{c}": F.sum(v), f"min_{c}": F.min(v), f"max_{c}": F.max(v), f"late_{c}": F.count(F.when(v >= 15, 1))}
+        finals |= {f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6), f"min_{c}": F.col(f"min_{c}"), f"max_{c}": F.col(f"max_{c}"), f"late_{c}": F.col(f"late_{c}")}
+    return parts, finals
+
+
+def _p3_sql() -> str:
+    def figures(c: str) -> str:
+        v = f"CASE WHEN {c} BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH} THEN {c} END"
+        return f"count({v}) AS n_{c}, round(sum({v}) / count({v}), 6) AS mean_{c}, min({v}) AS min_{c}, max({v}) AS max_{c}, count(CASE WHEN {v} >= 15 THEN 1 END) AS late_{c}"
+
+    return " UNION ALL ".join(f"SELECT '{k}' AS key_column, {k} AS key_value, count(*) AS n_rows, {figures('ArrDelay')}, {figures('DepDelay')} FROM airline GROUP BY {k}" for k in KEYS)
+
+
+@query("p3_per_key", _p3_sql())
+def p3_per_key(spark, d):
+    rows = table(spark, d, "airline").select(*KEYS, "ArrDelay", "DepDelay")
+    parts, finals = _p3_figures()
+    a, b = (heavy.per_key(rows, k, parts, finals, HEAVY_SHARE) for k in KEYS)
+    return a.unionByName(b)
