@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import heavy
+from tallyframe.operators import heavy, profile
 from tallyframe.plans import airline
 from tallyframe.sources import records
 
@@ -102,3 +102,70 @@ def p3_per_key(spark, d):
     parts, finals = _p3_figures()
     a, b = (heavy.per_key(rows, k, parts, finals, HEAVY_SHARE) for k in KEYS)
     return a.unionByName(b)
+
+
+# --- p7: data quality per column and load ----------------------------------------------------------------------------
+
+NULL_SHARE, BAD_SHARE, DRIFT = 0.20, 0.05, 0.30
+WATCHED = ["ArrDelay", "DepTime", "Cancelled", "UniqueCarrier"]
+DELAY_STEPS, TIME_STEPS = (0, 15, 60), (600, 1200, 1800)
+
+
+def quality_rules(spark: SparkSession, d: str, most: int = 10_000) -> dict[str, profile.Rule]:
+    """Allowed values of the watched columns. The carrier codes become a literal list; more than ``most`` are refused."""
+    codes = [r.code for r in table(spark, d, "carriers").select("code").where("code is not null").limit(most + 1).collect()]
+    if len(codes) > most:
+        raise ValueError("too many carrier codes for a literal list")
+    return {
+        "ArrDelay": profile.Rule(lambda v: v.between(airline.DELAY_LOW, airline.DELAY_HIGH), profile.steps(*DELAY_STEPS)),
+        "DepTime": profile.Rule(lambda v: v.between(0, 2400) & (v % 100 < 60), profile.steps(*TIME_STEPS)),
+        "Cancelled": profile.one_of([0, 1]),
+        "UniqueCarrier": profile.one_of(codes),
+    }
+
+
+def _p7_sql() -> str:
+    allowed = {
+        "ArrDelay": f"ArrDelay BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH}",
+        "DepTime": "DepTime BETWEEN 0 AND 2400 AND DepTime % 100 < 60",
+        "Cancelled": "Cancelled IN (0, 1)",
+        "UniqueCarrier": "UniqueCarrier IN (SELECT code FROM carriers WHERE code IS NOT NULL)",
+    }
+    bucket = {
+        "ArrDelay": "CASE WHEN ArrDelay < 0 THEN 'a' WHEN ArrDelay < 15 THEN 'b' WHEN ArrDelay < 60 THEN 'c' ELSE 'd' END",
+        "DepTime": "CASE WHEN DepTime < 600 THEN 'a' WHEN DepTime < 1200 THEN 'b' WHEN DepTime < 1800 THEN 'c' ELSE 'd' END",
+        "Cancelled": "CAST(Cancelled AS VARCHAR)",
+        "UniqueCarrier": "UniqueCarrier",
+    }
+    cells = " UNION ALL ".join(f"SELECT load_id, '{c}' AS column_name, {c} IS NULL AS nul, coalesce({allowed[c]}, false) AS ok, CASE WHEN {allowed[c]} THEN {bucket[c]} END AS b FROM airline" for c in WATCHED)
+    return f"""WITH c AS ({cells}),
+    t AS (SELECT load_id, column_name, count(*) AS n, count(*) FILTER (WHERE nul) AS nn, count(*) FILTER (WHERE ok) AS nok FROM c GROUP BY load_id, column_name),
+    a AS (SELECT column_name, b, count(*) / sum(count(*)) OVER (PARTITION BY column_name) AS p FROM c WHERE ok GROUP BY column_name, b),
+    l AS (SELECT load_id, column_name, b, count(*) AS k FROM c WHERE ok GROUP BY load_id, column_name, b),
+    d AS (SELECT t.load_id, t.column_name, sum(abs(coalesce(l.k, 0) / t.nok - a.p)) / 2 AS drift FROM t JOIN a ON a.column_name = t.column_name
+        LEFT JOIN l ON l.load_id = t.load_id AND l.column_name = t.column_name AND l.b = a.b WHERE t.nok > 0 GROUP BY t.load_id, t.column_name)
+    SELECT t.load_id, t.column_name FROM t LEFT JOIN d ON d.load_id = t.load_id AND d.column_name = t.column_name
+    WHERE nn > {NULL_SHARE} * n OR n - nn - nok > {BAD_SHARE} * (n - nn) OR coalesce(drift > {DRIFT}, false)"""
+
+
+@query("p7_found", _p7_sql())
+def p7_found(spark, d):
+    out = profile.profile(spark, f"{d}/airline.parquet", "load_id", quality_rules(spark, d), WATCHED, distinct=False)
+    bad = (F.col("n_null") > NULL_SHARE * F.col("n_rows")) | (F.col("n_disallowed") > BAD_SHARE * (F.col("n_rows") - F.col("n_null"))) | F.coalesce(F.col("drift") > DRIFT, F.lit(False))
+    return out.where(bad).select("load_id", "column_name")
+
+
+@query("p7_profile")
+def p7_profile(spark, d):
+    return profile.profile(spark, f"{d}/airline.parquet", "load_id", quality_rules(spark, d))
+
+
+@query(
+    "p7_footers",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value FROM airline"
+        for c in [*airline.COLUMNS, "row_id", "load_id", "loaded_at"]
+    ),
+)
+def p7_footers(spark, d):
+    return profile.footer_profile(spark, f"{d}/airline.parquet", "load_id")

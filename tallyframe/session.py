@@ -21,6 +21,7 @@ def build_session(master: str | None = None, app: str = "tallyframe", **conf: st
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for k, v in {**base, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
