@@ -2,5 +2,79 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyframe.llm import percentiles as P
+from tallyframe.llm import topn
+from tallyframe.plans import airline
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql:
+            SQL[name] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- p1: percentiles -------------------------------------------------------------------------------------------------
+
+GROUPS = ["Origin", "UniqueCarrier"]
+SETS = {"origin": ["Origin"], "carrier": ["UniqueCarrier"], "both": GROUPS}
+DELAYS = ["ArrDelay", "DepDelay"]
+PERCENTS = [10, 25, 50, 75, 90, 99]
+
+
+def _p1_sql() -> str:
+    picks = ", ".join(f"({p})" for p in PERCENTS)
+    parts = []
+    for name, cols in SETS.items():
+        for c in DELAYS:
+            keys = ", ".join(cols)
+            show = ", ".join(g if g in cols else f"CAST(NULL AS VARCHAR) AS {g}" for g in GROUPS)
+            parts.append(
+                f"SELECT '{name}' AS grouping, {show}, '{c}' AS column_name, CAST(p AS DOUBLE) AS percent, n, CAST(v AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS error_bound"
+                f" FROM (SELECT {keys}, {c} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {c}) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM airline WHERE {c} IS NOT NULL),"
+                f" (VALUES {picks}) t(p) WHERE i = greatest(1, (p * n + 99) // 100)"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("p1_percentiles", _p1_sql())
+def p1_percentiles(spark, d):
+    """Exact percentiles over all loads, put together from one part per load."""
+    parts = P.percentile_parts(table(spark, d, "airline"), GROUPS, DELAYS, part="load_id")
+    return P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, SETS, PERCENTS)
+
+
+@query("p1_bounded")
+def p1_bounded(spark, d):
+    """The same from compact parts, with values within 1 % of the exact ones."""
+    parts = P.percentile_parts(table(spark, d, "airline"), GROUPS, DELAYS, part="load_id", relative_error=0.01)
+    return P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, SETS, PERCENTS, relative_error=0.01)
+
+
+# --- p4: top N within every group ------------------------------------------------------------------------------------
+
+TOP = 5
+
+
+@query(
+    "p4_found",
+    "SELECT Origin, Year, Month, CAST(r AS INTEGER) AS rank_no, row_id FROM (SELECT Origin, Year, Month, row_id, row_number() OVER (PARTITION BY Origin, Year, Month ORDER BY ArrDelay DESC, FlightNum NULLS LAST, row_id) AS r"
+    f" FROM airline WHERE Origin IN (SELECT iata FROM airports WHERE iata IS NOT NULL) AND Year IS NOT NULL AND ArrDelay BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH}) WHERE r <= {TOP}",
+)
+def p4_found(spark, d):
+    flights = table(spark, d, "airline").where(F.col("Year").isNotNull() & F.col("ArrDelay").between(airline.DELAY_LOW, airline.DELAY_HIGH))
+    known = flights.join(table(spark, d, "airports").select(F.col("iata").alias("Origin")), "Origin", "left_semi")
+    return topn.top_n(known, ["Origin", "Year", "Month"], "ArrDelay", ["FlightNum", "row_id"], TOP).select("Origin", "Year", "Month", "rank_no", "row_id")
