@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import heavy, profile
+from tallyframe.operators import heavy, instants, profile
 from tallyframe.plans import airline
 from tallyframe.sources import records
 
@@ -169,3 +169,30 @@ def p7_profile(spark, d):
 )
 def p7_footers(spark, d):
     return profile.footer_profile(spark, f"{d}/airline.parquet", "load_id")
+
+
+# --- p6: mixed timestamp formats and zones ---------------------------------------------------------------------------
+
+TIME_FIELDS = [
+    instants.TimeField("CRSDepTime", "__origin_tz"),
+    instants.TimeField("DepTime", "__origin_tz", "nearest", "CRSDepTime"),
+    instants.TimeField("ArrTime", "__dest_tz", "after", "DepTime"),
+]
+
+
+def flight_instants(spark: SparkSession, d: str) -> DataFrame:
+    times, ports = table(spark, d, "flight_times"), table(spark, d, "airports")
+    for col, name in (("Origin", "__origin_tz"), ("Dest", "__dest_tz")):
+        times = times.join(ports.select(F.col("iata").alias(f"{name}_iata"), F.col("tz").alias(name)), F.col(col) == F.col(f"{name}_iata"), "left").drop(f"{name}_iata")
+    return instants.normalise_times(times, "time_id", "feed", "zone", ("Year", "Month", "DayofMonth"), TIME_FIELDS)
+
+
+@query("p6_found")
+def p6_found(spark, d):
+    return flight_instants(spark, d).where("status = 'ok'").select("time_id", "column_name", "utc_us")
+
+
+@query("p6_times")
+def p6_times(spark, d):
+    """Every time field with its text, the format chosen, the instant or the reason there is none."""
+    return flight_instants(spark, d)
