@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import percentiles as P
-from tallyframe.llm import topn
+from tallyframe.llm import mixing, packing, topn
+from tallyframe.llm.tokens import token_counts
 from tallyframe.plans import airline
+from tallyframe.session import written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -78,3 +80,42 @@ def p4_found(spark, d):
     flights = table(spark, d, "airline").where(F.col("Year").isNotNull() & F.col("ArrDelay").between(airline.DELAY_LOW, airline.DELAY_HIGH))
     known = flights.join(table(spark, d, "airports").select(F.col("iata").alias("Origin")), "Origin", "left_semi")
     return topn.top_n(known, ["Origin", "Year", "Month"], "ArrDelay", ["FlightNum", "row_id"], TOP).select("Origin", "Year", "Month", "rank_no", "row_id")
+
+
+# --- p8: containers of fixed capacity --------------------------------------------------------------------------------
+
+CAPACITY = 2048
+
+
+@query("p8_packing")
+def p8_packing(spark, d):
+    sizes = token_counts(table(spark, d, "documents"), "text", ["doc_id"])
+    return packing.pack_items(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+@query("p8_report")
+def p8_report(spark, d):
+    return packing.fill_report(p8_packing(spark, d), CAPACITY)
+
+
+# --- p9: mixing sources ----------------------------------------------------------------------------------------------
+
+
+def _mix(spark, d):
+    docs = written(token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"]), "sized")
+    rows = table(spark, d, "source_targets").where("source is not null").limit(mixing.MOST_SOURCES + 1).collect()
+    targets = [(r.source, r.target_share or 0.0, r.max_repeats or 0) for r in rows]
+    # Sources that may be repeated come later, when the others have been seen once.
+    shapes = {s: [0.5, 1.0, 1.5] if m > 1 else [1.5, 1.0, 0.5] for s, _, m in targets}
+    return docs, mixing.mix(docs, mixing.plan_mix(docs, targets, shapes=shapes, knots=[0.0, 0.5, 1.0]))
+
+
+@query("p9_mix")
+def p9_mix(spark, d):
+    return _mix(spark, d)[1]
+
+
+@query("p9_shares")
+def p9_shares(spark, d):
+    docs, mixed = _mix(spark, d)
+    return mixing.share_report(docs, mixed, table(spark, d, "source_targets"))
