@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyframe.llm import percentiles as P
-from tallyframe.llm import mixing, packing, topn
+from tallyframe.llm import mixing, packing, topn, toxicity
 from tallyframe.llm.tokens import token_counts
 from tallyframe.plans import airline
 from tallyframe.session import written
@@ -119,3 +119,27 @@ def p9_mix(spark, d):
 def p9_shares(spark, d):
     docs, mixed = _mix(spark, d)
     return mixing.share_report(docs, mixed, table(spark, d, "source_targets"))
+
+
+# --- p10: abusive, hateful or sexual content -------------------------------------------------------------------------
+
+
+def _scored(spark, d):
+    docs = table(spark, d, "documents")
+    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, d, "doc_labels"))
+    return toxicity.score_documents(docs, model, keep=["source"])
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return _scored(spark, d).where("flagged").select("doc_id")
+
+
+@query("p10_scores")
+def p10_scores(spark, d):
+    return _scored(spark, d)
+
+
+@query("p10_rates")
+def p10_rates(spark, d):
+    return toxicity.source_rates(_scored(spark, d))
