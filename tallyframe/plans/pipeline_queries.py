@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import heavy, instants, profile
+from tallyframe.operators import heavy, impute, instants, profile
 from tallyframe.plans import airline
 from tallyframe.sources import records
 
@@ -196,3 +196,62 @@ def p6_found(spark, d):
 def p6_times(spark, d):
     """Every time field with its text, the format chosen, the instant or the reason there is none."""
     return flight_instants(spark, d)
+
+
+# --- p5: filling missing values --------------------------------------------------------------------------------------
+
+
+def _minutes(c: str) -> Column:
+    return F.when(F.col(c).between(0, 2400) & (F.col(c) % 100 < 60), F.floor(F.col(c) / 100) * 60 + F.col(c) % 100)
+
+
+def _wrapped(v: Column) -> Column:
+    """Minutes within half a day either way."""
+    return F.pmod(v + 720, F.lit(1440)) - 720
+
+
+def _delay_field(name: str, time: str, planned: str, other: str) -> impute.NumericField:
+    shift = _minutes(time) - _minutes(planned)
+    span = F.col("ActualElapsedTime") - F.col("CRSElapsedTime")
+    longer = F.when(F.abs(span) <= 600, span)
+
+    def features(work: dict[str, Column]) -> list[Column]:
+        near = work[other] + _wrapped(shift - work[other])
+        return [F.coalesce(near, work[other]), F.when(near.isNull(), 1).otherwise(0), work[other], F.coalesce(longer, F.lit(0)), F.when(longer.isNull(), 1).otherwise(0)]
+
+    usable = F.col(name).between(airline.DELAY_LOW, airline.DELAY_HIGH)
+    return impute.NumericField(name, usable, F.col(time).isNotNull(), features, F.coalesce(_wrapped(shift), F.lit(0)), airline.DELAY_LOW, airline.DELAY_HIGH)
+
+
+def filled_flights(spark: SparkSession, d: str) -> DataFrame:
+    flights = table(spark, d, "airline")
+    codes = table(spark, d, "airports").select(F.col("iata").alias("__iata")).where("__iata is not null").distinct()
+    known = flights.join(codes, F.upper(F.trim("Origin")) == F.col("__iata"), "left")
+    carrier = F.upper(F.trim("UniqueCarrier"))
+    origin = impute.CategoryField(
+        "Origin",
+        F.col("__iata"),
+        F.lit(True),
+        [[carrier, F.col("FlightNum"), F.col("Dest")], [F.col("Dest"), F.col("Distance")], [carrier, F.col("FlightNum")], [F.col("Dest")]],
+        "ArrDelay",
+        [0, 15, 60],
+    )
+    numbers = [_delay_field("DepDelay", "DepTime", "CRSDepTime", "ArrDelay"), _delay_field("ArrDelay", "ArrTime", "CRSArrTime", "DepDelay")]
+    return impute.impute(known, numbers, origin).drop("__iata")
+
+
+@query(
+    "p5_found",
+    f"SELECT row_id, 'ArrDelay' AS column_name FROM airline WHERE ArrTime IS NOT NULL AND (ArrDelay IS NULL OR ArrDelay NOT BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH})"
+    f" UNION ALL SELECT row_id, 'DepDelay' FROM airline WHERE DepTime IS NOT NULL AND (DepDelay IS NULL OR DepDelay NOT BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH})"
+    " UNION ALL SELECT row_id, 'Origin' FROM airline WHERE Origin IS NULL OR upper(trim(Origin)) NOT IN (SELECT iata FROM airports WHERE iata IS NOT NULL)",
+)
+def p5_found(spark, d):
+    names = ["ArrDelay", "DepDelay", "Origin"]
+    marked = F.array_compact(F.array(*[F.when(F.col(f"{n}_filled"), F.lit(n)) for n in names]))
+    return filled_flights(spark, d).select("row_id", F.explode(marked).alias("column_name"))
+
+
+@query("p5_filled")
+def p5_filled(spark, d):
+    return filled_flights(spark, d)
