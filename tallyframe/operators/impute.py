@@ -48,13 +48,14 @@ class NumericField:
 
 @dataclass
 class CategoryField:
-    """``value``: the usable category or null. ``evidence``: key columns from the most to the least specific.
+    """``value``: the usable category or null. ``evidence``: names of ``keys`` from the most to the least specific set.
     ``weigh``: a numeric field and its bucket edges, whose frequency in each category weighs the candidates."""
 
     name: str
     value: Column
     fill: Column
-    evidence: list[list[Column]]
+    keys: dict[str, Column]
+    evidence: list[list[str]]
     weigh: str
     edges: list[float] = field(default_factory=list)
 
@@ -63,54 +64,55 @@ def _bucket(v: Column, edges: list[float]) -> Column:
     return sum((F.when(v >= e, 1).otherwise(0) for e in edges), F.lit(0))
 
 
-def _sums(x: list[Column], y: Column) -> dict[str, Column]:
-    """Sums that a regression needs, by name."""
-    d = len(x)
-    out = {"n": F.count(F.lit(1)).cast("double"), "y": F.sum(y), "yy": F.sum(y * y)}
-    for i in range(d):
-        out[f"x{i}"] = F.sum(x[i])
-        out[f"xy{i}"] = F.sum(x[i] * y)
-        for j in range(i, d):
-            out[f"xx{i}_{j}"] = F.sum(x[i] * x[j])
-    return out
-
-
-def gram(rows: DataFrame, fields: list[NumericField], work: dict[str, Column], category: str, keep: dict[str, Column] | None = None) -> DataFrame:
-    """(category, field_no, sums): one pass for all fields; ``keep`` says per field which rows count."""
-    parts = []
+def design(rows: DataFrame, fields: list[NumericField], work: dict[str, Column], category: Column, *keep: str) -> DataFrame:
+    """Per field k the target ``y{k}`` and predictors ``x{k}_{i}`` as doubles, computed once per row."""
+    cols = [category.alias("category"), *[F.col(c) for c in keep]]
     for k, f in enumerate(fields):
-        x, y = [c.cast("double") for c in f.features(work)], work[f.name].cast("double")
-        ok = keep[f.name] if keep else F.lit(True)
-        parts.append(F.struct(F.lit(k).alias("field_no"), ok.alias("ok"), y.alias("y"), F.array(*x).alias("x")))
-    long = rows.select(F.col(category).alias("category"), F.explode(F.array(*parts)).alias("p")).where("p.ok").select("category", "p.field_no", "p.y", "p.x")
-    d = len(fields[0].features(work))
-    x = [F.col("x")[i] for i in range(d)]
-    return long.groupBy("category", "field_no").agg(*[c.alias(n) for n, c in _sums(x, F.col("y")).items()])
-
-
-def solve(sums: DataFrame, field_no: int, d: int, shrink: float = 20.0) -> tuple[np.ndarray, float, DataFrame]:
-    """Slopes within categories, the overall intercept, and (category, intercept)."""
-    own = sums.where(F.col("field_no") == field_no)
-    cols = {"n": F.sum("n"), "y": F.sum("y")}
+        cols.append(work[f.name].cast("double").alias(f"y{k}"))
+        cols += [c.cast("double").alias(f"x{k}_{i}") for i, c in enumerate(f.features(work))]
+    return rows.select(*cols)
+
+
+def gram(designed: DataFrame, count: int, d: int, weights: list[Column] | None = None) -> DataFrame:
+    """Per category and field the sums that a regression needs, all in one pass; ``weights`` are 1 for rows that count."""
+    shown = ["category"]
+    made: list[Column] = []
+    for k in range(count):
+        w = weights[k].cast("double") if weights else F.lit(1.0)
+        made += [w.alias(f"w{k}"), (w * F.col(f"y{k}")).alias(f"v{k}"), *[(w * F.col(f"x{k}_{i}")).alias(f"u{k}_{i}") for i in range(d)]]
+        shown += [f"x{k}_{i}" for i in range(d)]
+    sums: list[Column] = []
+    for k in range(count):
+        sums += [F.sum(f"w{k}").alias(f"n{k}"), F.sum(f"v{k}").alias(f"sy{k}")]
+        for i in range(d):
+            sums += [F.sum(f"u{k}_{i}").alias(f"sx{k}_{i}"), F.sum(F.col(f"x{k}_{i}") * F.col(f"v{k}")).alias(f"sxy{k}_{i}")]
+            sums += [F.sum(F.col(f"u{k}_{i}") * F.col(f"x{k}_{j}")).alias(f"sxx{k}_{i}_{j}") for j in range(i, d)]
+    return designed.select(*shown, *made).groupBy("category").agg(*sums)
+
+
+def solve(sums: DataFrame, k: int, d: int, shrink: float = 20.0) -> tuple[np.ndarray, float, Column]:
+    """Of field k: slopes within categories, the overall intercept, and a category's intercept as an expression over ``sums``."""
+    n, y = F.col(f"n{k}"), F.col(f"sy{k}")
+    x = [F.col(f"sx{k}_{i}") for i in range(d)]
+    cols = {"n": F.sum(n), "y": F.sum(y)}
     for i in range(d):
-        cols[f"x{i}"] = F.sum(f"x{i}")
-        cols[f"xy{i}"] = F.sum(F.col(f"xy{i}") - F.col(f"x{i}") * F.col("y") / F.col("n"))
+        cols[f"x{i}"] = F.sum(x[i])
+        cols[f"xy{i}"] = F.sum(F.col(f"sxy{k}_{i}") - x[i] * y / n)
         for j in range(i, d):
-            cols[f"xx{i}_{j}"] = F.sum(F.col(f"xx{i}_{j}") - F.col(f"x{i}") * F.col(f"x{j}") / F.col("n"))
-    r = own.agg(*[c.alias(n) for n, c in cols.items()]).first()
+            cols[f"xx{i}_{j}"] = F.sum(F.col(f"sxx{k}_{i}_{j}") - x[i] * x[j] / n)
+    r = sums.where(n > 0).agg(*[c.alias(name) for name, c in cols.items()]).first()
     if not r.n:
-        return np.zeros(d), 0.0, own.select("category", F.lit(0.0).alias("intercept"))
+        return np.zeros(d), 0.0, F.lit(0.0)
     xx = np.zeros((d, d))
     for i in range(d):
         for j in range(i, d):
             xx[i, j] = xx[j, i] = r[f"xx{i}_{j}"]
     xy = np.array([r[f"xy{i}"] for i in range(d)])
-    scale = np.maximum(np.sqrt(np.diag(xx)), 1e-9)
+    scale = np.maximum(np.sqrt(np.maximum(np.diag(xx), 0)), 1e-9)
     slopes = np.linalg.solve(xx / np.outer(scale, scale) + 1e-6 * np.eye(d), xy / scale) / scale
     slopes[np.diag(xx) < 1e-9] = 0.0
     overall = float((r.y - sum(slopes[i] * r[f"x{i}"] for i in range(d))) / r.n)
-    fitted = F.col("y") - sum((F.lit(float(slopes[i])) * F.col(f"x{i}") for i in range(d)), F.lit(0.0))
-    return slopes, overall, own.select("category", ((fitted + shrink * overall) / (F.col("n") + shrink)).alias("intercept"))
+    return slopes, overall, (y - _line(x, slopes) + shrink * overall) / (n + shrink)
 
 
 def _line(x: list[Column], slopes: np.ndarray) -> Column:
@@ -134,21 +136,25 @@ def _draw(candidates: Column, bucket: Column, u: Column) -> Column:
     return F.aggregate(candidates, start, step)["value"]
 
 
-def _candidates(known: DataFrame, todo: DataFrame, cat: CategoryField, odds: DataFrame) -> DataFrame:
-    """``todo`` (k, keys e0..) with ``candidates`` of the most specific evidence that other rows share."""
-    out, names = todo, []
-    for level in range(len(cat.evidence) + 1):
-        keys = [f"e{level}_{i}" for i in range(len(cat.evidence[level]))] if level < len(cat.evidence) else []
-        source = known
+def _candidates(counted: DataFrame, todo: DataFrame, cat: CategoryField) -> DataFrame:
+    """``todo`` (k and keys) with ``candidates`` of the most specific evidence that other rows share.
+
+    ``counted`` holds (keys, category, odds, n). A list has at most one entry per category, and is sorted so that a draw
+    doesn't depend on the order of arrival.
+    """
+    out = todo
+    entry = F.struct(F.col("category").alias("value"), F.col("n").alias("n"), "odds")
+    for level, keys in enumerate([*cat.evidence, []]):
+        source = counted.where(F.lit(True))
         for c in keys:
             source = source.where(F.col(c).isNotNull())
-        counted = source.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n")).join(odds, "category")
-        c = F.struct(F.col("category").alias("value"), F.col("n").cast("double").alias("n"), "odds")
-        # At most one entry per category; sorted so that a draw doesn't depend on the order of arrival.
-        table = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(c)).alias(f"c{level}"))
-        out = out.join(table, keys, "left") if keys else out.crossJoin(F.broadcast(table))  # one row: the overall distribution
-        names.append(f"c{level}")
-    return out.select("k", F.coalesce(*names).alias("candidates"))
+        own = source.groupBy(*keys, "category").agg(F.sum("n").cast("double").alias("n"), F.first("odds").alias("odds"))
+        own = own.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(f"c{level}"))
+        if not keys:
+            own = own.withColumn("__all", F.lit(0))
+            out, keys = out.withColumn("__all", F.lit(0)), ["__all"]
+        out = out.join(own, keys, "left")
+    return out.select("k", F.coalesce(*[f"c{i}" for i in range(len(cat.evidence) + 1)]).alias("candidates"))
 
 
 def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, rounds: int = 3, residual_range: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
@@ -167,54 +173,53 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
     raw = {f.name: F.col(f.name) for f in numbers}
 
     # Complete rows: three scans, whatever the number of rounds.
-    rows = df.where(complete).withColumn("__category", cat.value)
-    first = written(gram(rows, numbers, raw, "__category"), "sums")
-    fits = [solve(first, k, d) for k in range(len(numbers))]
-    residual = {f.name: F.col(f.name) - (_line([c.cast("double") for c in f.features(raw)], fits[k][0]) + fits[k][1]) for k, f in enumerate(numbers)}
-    q = rows.agg(*[F.percentile_approx(residual[f.name], PERCENTS, 2000).alias(f"q{k}") for k, f in enumerate(numbers)]).first()
-    quantiles = [list(q[k]) if q[k] else [0.0] * 101 for k in range(len(numbers))]
+    count = len(numbers)
+    rows = design(df.where(complete), numbers, raw, cat.value)
+    first = written(gram(rows, count, d), "sums")
+    fits = [solve(first, k, d) for k in range(count)]
+
+    def off(k: int) -> Column:
+        return F.col(f"y{k}") - _line([F.col(f"x{k}_{i}") for i in range(d)], fits[k][0]) - F.lit(fits[k][1])
+
+    q = rows.agg(*[F.percentile_approx(off(k), PERCENTS, 2000).alias(f"q{k}") for k in range(count)]).first()
+    quantiles = [list(q[k]) if q[k] else [0.0] * len(PERCENTS) for k in range(count)]
     cuts = [max(3 * (v[84] - v[16]) / 2, 5.0) for v in quantiles]
-    near = {f.name: F.abs(residual[f.name] - F.lit(float(quantiles[k][50]))) <= cuts[k] for k, f in enumerate(numbers)}
-    fixed = written(gram(rows, numbers, raw, "__category", near), "sums")
+    near = [F.abs(off(k) - F.lit(float(quantiles[k][50]))) <= cuts[k] for k in range(count)]
+    fixed = written(gram(rows, count, d, near), "sums")
 
-    # Rows with an unusable field, all columns once, working columns every round.
+    # Rows with an unusable field: all columns once, working columns every round.
     wide = written(df.where(~complete).withColumn("__k", F.monotonically_increasing_id()), "incomplete")
     seed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    work = {f.name: F.col(f"__w_{f.name}") for f in numbers}
     state = wide.withColumn("__seed", seed).withColumns({f"__w_{f.name}": F.when(good[f.name], F.col(f.name)).otherwise(f.start).cast("double") for f in numbers})
+    work = {f.name: F.col(f"__w_{f.name}") for f in numbers}
 
-    evidence = {f"e{lv}_{i}": c for lv, keys in enumerate(cat.evidence) for i, c in enumerate(keys)}
-    known = df.where(cat.value.isNotNull()).select(cat.value.alias("category"), *[c.alias(n) for n, c in evidence.items()])
     weigh = next(f for f in numbers if f.name == cat.weigh)
-    b = _bucket(F.col(weigh.name), cat.edges)
     size = len(cat.edges) + 1
-    share = [(F.count(F.when(good[weigh.name] & (b == i), 1)) + 1.0) / (F.count(F.when(good[weigh.name], 1)) + float(size)) for i in range(size)]
-    odds = df.where(cat.value.isNotNull()).groupBy(cat.value.alias("category")).agg(F.array(*share).alias("odds"))
-    odds = written(odds, "odds")
-    todo = wide.where(cat.value.isNull()).select(F.col("__k").alias("k"), *[c.alias(n) for n, c in evidence.items()])
-    found = _candidates(known, todo, cat, odds)
+    seen = df.where(cat.value.isNotNull()).select(cat.value.alias("category"), F.when(good[weigh.name], _bucket(F.col(weigh.name), cat.edges)).alias("bucket"), *[c.alias(n) for n, c in cat.keys.items()])
+    counted = written(seen.groupBy("category", "bucket", *cat.keys).agg(F.count(F.lit(1)).alias("n")), "evidence")
+    known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0))
+    share = [(F.sum(F.when(F.col("bucket") == i, F.col("n")).otherwise(0)) + 1.0) / (known + float(size)) for i in range(size)]
+    odds = counted.groupBy("category").agg(F.array(*share).alias("odds"))
+    todo = wide.where(cat.value.isNull()).select(F.col("__k").alias("k"), *[c.alias(n) for n, c in cat.keys.items()])
+    found = _candidates(counted.join(odds, "category"), todo, cat)
     state = state.withColumn("__known", cat.value).join(found, F.col("__k") == F.col("k"), "left").drop("k")
-    state = written(state, "state")
+    state = written(state.withColumns({f"__good{k}": good[f.name] for k, f in enumerate(numbers)}), "state")
     for _ in range(rounds):
         drawn = _draw(F.col("candidates"), _bucket(work[weigh.name], cat.edges), _uniform(F.col("__seed"), 1))
         state = state.withColumn("__category", F.coalesce(F.col("__known"), drawn))
+        rows = design(state, numbers, work, F.col("__category"), *[f"__good{k}" for k in range(count)])
+        use = [F.col(f"__good{k}") & (F.abs(off(k) - F.lit(float(quantiles[k][50]))) <= cuts[k]) for k in range(count)]
+        both = fixed.unionByName(gram(rows, count, d, use))
+        both = written(both.groupBy("category").agg(*[F.sum(c).alias(c) for c in both.columns if c != "category"]), "sums")
+        fits = [solve(both, k, d) for k in range(count)]
+        levels = both.select(F.col("category").alias("__cat"), *[fits[k][2].alias(f"__a{k}") for k in range(count)])
+        new = {}
         for k, f in enumerate(numbers):
-            x = [c.cast("double") for c in f.features(work)]
-            line = _line(x, fits[k][0]) + F.lit(fits[k][1])
-            use = good[f.name] & (F.abs(work[f.name] - line - F.lit(float(quantiles[k][50]))) <= cuts[k])
-            own = gram(state, [f], work, "__category", {f.name: use}).withColumn("field_no", F.lit(k))
-            both = fixed.where(F.col("field_no") == k).unionByName(own)
-            both = both.groupBy("category", "field_no").agg(*[F.sum(c).alias(c) for c in both.columns if c not in ("category", "field_no")])
-            fits[k] = solve(both, k, d)
-            slopes, overall, intercepts = fits[k]
-            levels = intercepts.select(F.col("category").alias("__cat"), "intercept")
             at = F.lit(residual_range[0]) + _uniform(F.col("__seed"), 2 + k) * (residual_range[1] - residual_range[0])
             noise = F.element_at(F.array(*[F.lit(float(v)) for v in quantiles[k]]), (F.round(at * 100) + 1).cast("int"))
-            guess = F.coalesce(F.col("intercept"), F.lit(overall)) + _line(x, slopes) + noise
-            guess = F.round(F.greatest(F.lit(f.low), F.least(F.lit(f.high), guess)))
-            columns = [c for c in state.columns if c != f"__w_{f.name}"]
-            state = state.join(levels, F.col("__category") == F.col("__cat"), "left").select(*columns, F.when(good[f.name], work[f.name]).otherwise(guess).alias(f"__w_{f.name}"))
-        state = written(state, "state")
+            guess = F.coalesce(F.col(f"__a{k}"), F.lit(fits[k][1])) + _line([c.cast("double") for c in f.features(work)], fits[k][0]) + noise
+            new[f"__w_{f.name}"] = F.when(F.col(f"__good{k}"), work[f.name]).otherwise(F.round(F.greatest(F.lit(f.low), F.least(F.lit(f.high), guess))))
+        state = written(state.join(levels, F.col("__category") == F.col("__cat"), "left").drop("__cat").withColumns(new).drop(*[f"__a{k}" for k in range(count)]), "state")
 
     kinds = {f.name: f.dataType for f in df.schema}
     filled, plain = {}, {}

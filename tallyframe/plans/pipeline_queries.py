@@ -227,12 +227,12 @@ def filled_flights(spark: SparkSession, d: str) -> DataFrame:
     flights = table(spark, d, "airline")
     codes = table(spark, d, "airports").select(F.col("iata").alias("__iata")).where("__iata is not null").distinct()
     known = flights.join(codes, F.upper(F.trim("Origin")) == F.col("__iata"), "left")
-    carrier = F.upper(F.trim("UniqueCarrier"))
     origin = impute.CategoryField(
         "Origin",
         F.col("__iata"),
         F.lit(True),
-        [[carrier, F.col("FlightNum"), F.col("Dest")], [F.col("Dest"), F.col("Distance")], [carrier, F.col("FlightNum")], [F.col("Dest")]],
+        {"carrier": F.upper(F.trim("UniqueCarrier")), "flight": F.col("FlightNum"), "dest": F.col("Dest"), "distance": F.col("Distance")},
+        [["carrier", "flight", "dest"], ["dest", "distance"], ["carrier", "flight"], ["dest"]],
         "ArrDelay",
         [0, 15, 60],
     )
@@ -249,7 +249,8 @@ def filled_flights(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark, d):
     names = ["ArrDelay", "DepDelay", "Origin"]
     marked = F.array_compact(F.array(*[F.when(F.col(f"{n}_filled"), F.lit(n)) for n in names]))
-    return filled_flights(spark, d).select("row_id", F.explode(marked).alias("column_name"))
+    some = F.col("ArrDelay_filled") | F.col("DepDelay_filled") | F.col("Origin_filled")
+    return filled_flights(spark, d).where(some).select("row_id", F.explode(marked).alias("column_name"))
 
 
 @query("p5_filled")
