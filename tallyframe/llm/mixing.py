@@ -77,7 +77,7 @@ def plan_mix(docs: DataFrame, targets: list[tuple[str, float, int]], source: str
         w, t = np.array(weights[s]), np.array(knots)
         at = np.append(0.0, np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(t)))
         demand = p / scale * total
-        out.append({"source": s, "tokens": int(have[s][0]), "docs": int(have[s][1]), "demand": float(demand), "total": float(total), "passes": int(np.ceil(demand / have[s][0] - 1e-9)), "t": t.tolist(), "w": w.tolist(), "at": at.tolist()})
+        out.append({"source": s, "tokens": int(have[s][0]), "docs": int(have[s][1]), "demand": float(demand), "total": float(total), "passes": int(np.ceil(demand / have[s][0] - 1e-9)), "t": [float(v) for v in t], "w": [float(v) for v in w], "at": [float(v) for v in at]})
     return out
 
 

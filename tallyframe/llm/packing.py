@@ -4,7 +4,8 @@ An item costs ``linear * n + quadratic * n^2`` (attention within the item). Item
 full pieces and a rest; no other item is cut. Items fall by hash into pools of about ``pool_containers`` containers' size,
 whose number follows the total, so a pool always fits one task; pools are packed in parallel. Within a pool as many
 containers are open as its tokens need at least; pieces in descending length go to the container with the lowest cost so
-far that has room, and a new one is opened only where none has. A pool leaves about one container partly filled.
+far that has room, and a new one is opened only where none has. A pool leaves about one container partly filled. A pool of
+large pieces, which balancing packs badly, is packed by least room instead.
 
 Defined results: an item of no tokens (null or empty text) takes a place but no room; items with null identifiers are
 packed as any other; an empty table gives no rows. Ties in length go by identifier, ties in cost by container number.
@@ -22,22 +23,38 @@ from tallyframe.session import written
 POOL_BITS = 24
 
 
-def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Container number and offset for pieces given in descending length, each at most ``capacity``."""
-    total = int(lengths.sum())
-    count = max(1, -(-total // capacity))
+def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, tight: bool) -> tuple[np.ndarray, np.ndarray, int]:
+    """Container number and offset of pieces in the order given, and how many containers it took.
+
+    A piece goes to the container of lowest cost that has room; with ``tight`` to the one with the least room that will do.
+    """
+    count = max(1, -(-int(lengths.sum()) // capacity))
     room = np.full(count, capacity, np.int64)
     cost = np.zeros(count)
     where, at = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for i, n in enumerate(lengths.tolist()):
         fits = room >= n
-        k = int(np.where(fits, cost, np.inf).argmin())
+        k = int(np.where(fits, room if tight else cost, np.inf).argmin())
         if not fits[k]:
             k = len(room)
             room, cost = np.append(room, capacity), np.append(cost, 0.0)
         where[i], at[i] = k, capacity - room[k]
         room[k] -= n
         cost[k] += linear * n + quadratic * n * n
+    return where, at, len(room)
+
+
+def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096, slack: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces in descending length, each at most ``capacity``, by lowest cost.
+
+    Where that takes over ``slack`` more containers than the tokens need (many pieces of about half the capacity), the pool
+    is packed by least room too, and the packing with fewer containers stands.
+    """
+    where, at, count = assign(lengths, capacity, linear, quadratic, False)
+    if count > 1 + (1 + slack) * (int(lengths.sum()) / capacity):
+        tight = assign(lengths, capacity, linear, quadratic, True)
+        if tight[2] < count:
+            where, at = tight[:2]
     return where, at
 
 
