@@ -137,7 +137,7 @@ def _draw(candidates: Column, bucket: Column, u: Column) -> Column:
 
 
 def _candidates(counted: DataFrame, todo: DataFrame, cat: CategoryField) -> DataFrame:
-    """``todo`` (k and keys) with ``candidates`` of the most specific evidence that other rows share.
+    """``todo`` (row and keys) with the candidates of the most specific evidence that other rows share.
 
     ``counted`` holds (keys, category, odds, n). A list has at most one entry per category, and is sorted so that a draw
     doesn't depend on the order of arrival.
@@ -149,12 +149,12 @@ def _candidates(counted: DataFrame, todo: DataFrame, cat: CategoryField) -> Data
         for c in keys:
             source = source.where(F.col(c).isNotNull())
         own = source.groupBy(*keys, "category").agg(F.sum("n").cast("double").alias("n"), F.first("odds").alias("odds"))
-        own = own.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(f"c{level}"))
+        own = own.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(f"__c{level}"))
         if not keys:
             own = own.withColumn("__all", F.lit(0))
             out, keys = out.withColumn("__all", F.lit(0)), ["__all"]
         out = out.join(own, keys, "left")
-    return out.select("k", F.coalesce(*[f"c{i}" for i in range(len(cat.evidence) + 1)]).alias("candidates"))
+    return out.select("__row", F.coalesce(*[f"__c{i}" for i in range(len(cat.evidence) + 1)]).alias("__candidates"))
 
 
 def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, rounds: int = 3, residual_range: tuple[float, float] = (0.025, 0.975)) -> DataFrame:
@@ -162,6 +162,8 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
     names = [f.name for f in numbers] + [cat.name]
     marks = {n: f"{n}_filled" for n in names}
     clash = [m for m in marks.values() if m.lower() in {c.lower() for c in df.columns}]
+    if set(cat.keys) & {"category", "bucket", "n", "odds"}:
+        raise ValueError("evidence keys can't be named category, bucket, n or odds")
     if clash:
         raise ValueError(f"rename columns {clash} first")
     d = len(numbers[0].features({f.name: F.col(f.name) for f in numbers}))
@@ -200,12 +202,12 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
     known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0))
     share = [(F.sum(F.when(F.col("bucket") == i, F.col("n")).otherwise(0)) + 1.0) / (known + float(size)) for i in range(size)]
     odds = counted.groupBy("category").agg(F.array(*share).alias("odds"))
-    todo = wide.where(cat.value.isNull()).select(F.col("__k").alias("k"), *[c.alias(n) for n, c in cat.keys.items()])
+    todo = wide.where(cat.value.isNull()).select(F.col("__k").alias("__row"), *[c.alias(n) for n, c in cat.keys.items()])
     found = _candidates(counted.join(odds, "category"), todo, cat)
-    state = state.withColumn("__known", cat.value).join(found, F.col("__k") == F.col("k"), "left").drop("k")
+    state = state.withColumn("__known", cat.value).join(found, F.col("__k") == F.col("__row"), "left").drop("__row")
     state = written(state.withColumns({f"__good{k}": good[f.name] for k, f in enumerate(numbers)}), "state")
     for _ in range(rounds):
-        drawn = _draw(F.col("candidates"), _bucket(work[weigh.name], cat.edges), _uniform(F.col("__seed"), 1))
+        drawn = _draw(F.col("__candidates"), _bucket(work[weigh.name], cat.edges), _uniform(F.col("__seed"), 1))
         state = state.withColumn("__category", F.coalesce(F.col("__known"), drawn))
         rows = design(state, numbers, work, F.col("__category"), *[f"__good{k}" for k in range(count)])
         use = [F.col(f"__good{k}") & (F.abs(off(k) - F.lit(float(quantiles[k][50]))) <= cuts[k]) for k in range(count)]

@@ -59,11 +59,8 @@ class Index:
         opening = (np.arange(len(quotes)) - first[rec]) % 2 == 0 if len(quotes) else np.zeros(0, bool)
         padded = np.concatenate([[0], data, [0]])
         before, after = padded[quotes], padded[quotes + 2]
-        ok = np.where(
-            opening,
-            (quotes == starts[rec]) | (before == delimiter) | (before == QUOTE),
-            (quotes + 1 == ends[rec]) | (after == delimiter) | (after == QUOTE),
-        )
+        last = quotes + 1 == ends[rec]  # what follows is the next record's
+        ok = np.where(opening, (quotes == starts[rec]) | (before == delimiter) | (before == QUOTE), last | (after == delimiter) | (after == QUOTE))
         self.bad_quotes = np.bincount(rec, minlength=n) % 2 == 1
         self.bad_quotes[rec[~ok]] = True
 
@@ -72,7 +69,7 @@ class Index:
         outside = (np.searchsorted(quotes, commas) - first[crec]) % 2 == 0 if len(commas) else np.zeros(0, bool)
         self.commas, self.crec = commas[outside], crec[outside]
         self.width = np.bincount(self.crec, minlength=n) + 1
-        self.dropped_quotes = quotes[opening | (after != QUOTE)]
+        self.dropped_quotes = quotes[opening | last | (after != QUOTE)]
 
     def fields(self, good: np.ndarray, width: int) -> pa.Array:
         """All fields of the ``good`` records, each of ``width`` fields, as one text column in record order."""
@@ -96,15 +93,16 @@ class Index:
 
 def integers(col: pa.Array, bits: int) -> tuple[pa.Array, np.ndarray]:
     """Whole numbers from text: optional sign, ASCII digits, within ``bits``; and which values fail."""
-    fits = pc.fill_null(pc.match_substring_regex(col, r"^[+-]?[0-9]+$"), True).to_numpy(zero_copy_only=False)
+    fits = pc.fill_null(pc.match_substring_regex(col, r"^[+-]?[0-9]+$"), True).to_numpy(zero_copy_only=False).copy()
     plain = pc.replace_substring_regex(col, r"^[+]?(-?)0*([0-9]+)$", r"\1\2")
-    short = pc.fill_null(pc.less_equal(pc.utf8_length(plain), 18), True).to_numpy(zero_copy_only=False)
-    ok = fits & short
-    nums = pc.if_else(pa.array(ok), plain, pa.scalar(None, col.type)).cast(pa.int64())
     top = 1 << (bits - 1)
-    within = pc.fill_null(pc.and_(pc.greater_equal(nums, -top), pc.less_equal(nums, top - 1)), True).to_numpy(zero_copy_only=False) if bits < 64 else np.ones(len(col), bool)
-    ok &= within
-    return pc.if_else(pa.array(ok), nums, pa.scalar(None, pa.int64())), ~ok
+    length = pc.fill_null(pc.utf8_length(plain), 0).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(fits & (length > 18)):  # may not fit 64 bits: rare, so one by one
+        fits[i] = bits == 64 and length[i] <= 20 and -top <= int(plain[i].as_py()) < top
+    nums = pc.if_else(pa.array(fits), plain, pa.scalar(None, col.type)).cast(pa.int64())
+    if bits < 64:
+        fits &= pc.fill_null(pc.and_(pc.greater_equal(nums, -top), pc.less_equal(nums, top - 1)), True).to_numpy(zero_copy_only=False)
+    return pc.if_else(pa.array(fits), nums, pa.scalar(None, pa.int64())), ~fits
 
 
 def parse_batch(lines: pa.Array, schema: T.StructType, checks: dict[str, Check], nulls: tuple[str, ...] = ("", "NA")) -> tuple[pa.Array, pa.Array, dict[str, pa.Array]]:
