@@ -149,6 +149,12 @@ class Frame:
             out[r.column_name][r.level] = r.n
         return out
 
+    def level_map(self, column: str) -> dict[str, int]:
+        """Levels of a factor in order, numbered from 1: those it was given, else the values there are."""
+        meta = self.df.schema[column].metadata or {}
+        levels = meta.get("levels") or sorted(S.factor_counts(self.df, [column]).toPandas()["level"])
+        return {v: i + 1 for i, v in enumerate(levels)}
+
     def sample(self, n: int, replace: bool = False, seed: int = 0) -> list:
         return sampling.sample_rows(self.df, n, replace, seed).collect()
 

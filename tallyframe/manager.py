@@ -11,13 +11,14 @@ from tallyframe.frame import Frame
 from tallyframe.operators.relational import rows_text
 from tallyframe.plans import sqlfront
 from tallyframe.schema import parse_columns
-from tallyframe.session import build_session, shared_dir
+from tallyframe.session import build_session, shared_dir, ship
 from tallyframe.sources import delimited
 
 
 class FrameManager:
     def __init__(self, spark: SparkSession | None = None, warehouse: str | None = None):
         self.spark = spark or build_session()
+        ship(self.spark)
         self.frames: dict[str, Frame] = {}
         self._warehouse = warehouse
 

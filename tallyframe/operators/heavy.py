@@ -13,7 +13,9 @@ repeated rows and empty tables need no special case (an empty table has no heavy
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +85,8 @@ def heavy_keys(df: DataFrame, columns: list[str], threshold: float) -> DataFrame
             key = F.col(f"`{c}`").cast("string")
             pairs.append(F.when(key.isin(names), F.struct(F.lit(c).alias("key_column"), key.alias("key_value"))))
     counted = df.select(F.explode(F.array(*pairs)).alias("x")).where("x is not null").groupBy("x.key_column", "x.key_value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") >= F.lit(threshold * total)).select("key_column", "key_value", "n", (F.col("n") / F.lit(total)).alias("share"))
+    least = math.ceil(Fraction(str(threshold)) * total)  # exact where a share falls right on the threshold
+    return counted.where(F.col("n") >= least).select("key_column", "key_value", "n", (F.col("n") / F.lit(total)).alias("share"))
 
 
 def per_key(df: DataFrame, column: str, parts: dict[str, Column], finals: dict[str, Column], threshold: float = 0.05, salts: int = 64) -> DataFrame:

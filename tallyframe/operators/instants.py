@@ -9,7 +9,7 @@ run is decoded by itself; the only shuffle is by source and run, and a group nev
 
 Status of a field: ``ok``, ``no_time`` (no valid reading), ``no_zone``, ``no_anchor`` (the field it follows has no time),
 ``skipped`` or ``repeated`` (by a clock change). Nulls and empty texts are ``no_time``; a null source is a source; repeated
-rows each get a result; a null identifier falls into one run of its own.
+rows each get a result; rows without an identifier form runs of their own.
 """
 
 from __future__ import annotations
@@ -129,7 +129,8 @@ def normalise_times(df: DataFrame, id_column: str, source: str, zone: str, date_
     anchored field whose anchor a clock change makes uncertain still resolves where both readings give the same instant.
     """
     names = [f.column for f in fields]
-    block = F.floor(F.col(f"`{id_column}`") / run_length)
+    # Rows without an identifier have no order among themselves; they fall into runs as they come.
+    block = F.coalesce(F.floor(F.col(f"`{id_column}`") / run_length), -1 - F.floor(F.monotonically_increasing_id() / run_length))
     cols = [id_column, zone, *date_columns, *names, *[f.zone for f in fields]]
     rows = df.select(F.col(f"`{source}`").alias("__source"), block.alias("__run"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     width = len(fields)

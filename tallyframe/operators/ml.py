@@ -31,7 +31,7 @@ class Model:
 
     def transform(self, df: DataFrame, has_labels: bool = False, include_features: bool = True) -> DataFrame:
         """Input columns plus ``yPredict``; only the prediction (and the label, if there is one) without the features."""
-        if self.kind == "als":
+        if self.kind in ("als", "centroids"):
             out = self.raw.transform(df).withColumnRenamed("prediction", "yPredict")
         else:
             out = self.raw.transform(features(df, self.columns)).withColumnRenamed("prediction", "yPredict")
@@ -65,7 +65,41 @@ def als(df: DataFrame, factors: int = 10, regularization: float = 0.1, iteration
     return Model("als", raw, [u, i])
 
 
-def k_means(df: DataFrame, clusters: int, iterations: int = 10, init: str = "k-means||", seed: int = 1) -> Model:
+class Centroids:
+    """Cluster centres with the nearest-centre prediction as one expression."""
+
+    def __init__(self, columns: list[str], centres: list[list[float]]):
+        self.columns, self.centres = columns, centres
+
+    def nearest(self):
+        x = [F.col(f"`{c}`").cast("double") for c in self.columns]
+        far = [F.struct(sum(((a - F.lit(float(b))) ** 2 for a, b in zip(x, c)), F.lit(0.0)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centres)]
+        return (far[0] if len(far) == 1 else F.least(*far))["i"]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        known = df.dropna(subset=self.columns)
+        return known.withColumn("prediction", self.nearest())
+
+
+def lloyd(df: DataFrame, centroids: list[list[float]], iterations: int = 10) -> Model:
+    """k-means from given centres: a fixed number of rounds, each one aggregation; a centre without rows stays."""
+    cols = list(df.columns)
+    if not centroids or any(len(c) != len(cols) for c in centroids):
+        raise ValueError("every centre needs a number per column")
+    raw = Centroids(cols, [[float(v) for v in c] for c in centroids])
+    rows = df.dropna()
+    for _ in range(iterations):
+        new = rows.groupBy(raw.nearest().alias("__i")).agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{k}") for k, c in enumerate(cols)]).collect()
+        for r in new:  # one row per cluster
+            raw.centres[r["__i"]] = [r[f"m{k}"] for k in range(len(cols))]
+    return Model("centroids", raw, cols)
+
+
+def k_means(df: DataFrame, clusters: int, iterations: int = 10, init: str = "k-means||", seed: int = 1, centroids: list[list[float]] | None = None) -> Model:
+    """``init`` is ``random`` or ``k-means||`` (also under the name ``k-means++``); ``centroids`` are given first centres."""
+    if centroids is not None:
+        return lloyd(df, centroids, iterations)
+    init = "k-means||" if init == "k-means++" else init
     cols = list(df.columns)
     raw = KMeans(featuresCol=FEATURES, k=clusters, maxIter=iterations, initMode=init, tol=0.0, seed=seed).fit(features(df.dropna(), cols))
     return Model("kmeans", raw, cols)
@@ -99,3 +133,21 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     e = F.col(truth) - F.col(predicted)
     rows = df.where(e.isNotNull())
     return rows.agg((1 - F.sum(e * e) / (F.var_pop(truth) * F.count(F.lit(1)))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_residual"))
+
+
+def roc(df: DataFrame, truth: str, score: str, steps: int = 100) -> DataFrame:
+    """(threshold, tpr, fpr) at ``steps`` + 1 even thresholds over the range of the scores, from one small histogram."""
+    rows = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    span = rows.agg(F.min(score).cast("double").alias("lo"), F.max(score).cast("double").alias("hi")).first()
+    spark = df.sparkSession
+    if span.lo is None:
+        return spark.createDataFrame([], "threshold double, tpr double, fpr double")
+    width = (span.hi - span.lo) / steps or 1.0
+    bin_no = F.least(F.lit(steps), F.floor((F.col(score) - F.lit(span.lo)) / F.lit(width))).cast("int")
+    got = rows.groupBy(bin_no.alias("b")).agg(F.count(F.when(F.col(truth) > 0, 1)).alias("pos"), F.count(F.lit(1)).alias("n")).collect()
+    pos, neg = [0] * (steps + 1), [0] * (steps + 1)
+    for r in got:  # at most steps + 1 rows
+        pos[r.b], neg[r.b] = r.pos, r.n - r.pos
+    all_pos, all_neg = sum(pos), sum(neg)
+    out = [(span.lo + i * width, sum(pos[i:]) / all_pos if all_pos else 0.0, sum(neg[i:]) / all_neg if all_neg else 0.0) for i in range(steps + 1)]
+    return spark.createDataFrame(out, "threshold double, tpr double, fpr double")

@@ -496,3 +496,27 @@ def ml_als(spark, d):
 
     rows = table(spark, d, "ratings").where("rating between 0.5 and 5").dropna()
     return ml.als(rows, factors=5, iterations=5, blocks=4).transform(rows)
+
+
+@query("ml_kmeans_given")
+def ml_kmeans_given(spark, d):
+    from tallyframe.operators import ml
+
+    rows = table(spark, d, "mtcars").select("mpg", "hp", "wt").dropna()
+    return ml.k_means(rows, 2, 5, centroids=[[30.0, 80.0, 2.0], [15.0, 200.0, 4.0]]).transform(rows)
+
+
+@query("ml_regression_metrics", "SELECT round(1 - sum(e * e) / (var_pop(ArrDelay) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean_residual FROM (SELECT ArrDelay, CAST(ArrDelay - DepDelay AS DOUBLE) AS e FROM airline) WHERE e IS NOT NULL")
+def ml_regression_metrics(spark, d):
+    from tallyframe.operators import ml
+
+    rows = table(spark, d, "airline").select(F.col("ArrDelay").cast("double").alias("ArrDelay"), F.col("DepDelay").cast("double").alias("DepDelay"))
+    return rounded(ml.regression_metrics(rows, "ArrDelay", "DepDelay"), 6)
+
+
+@query("ml_roc")
+def ml_roc(spark, d):
+    from tallyframe.operators import ml
+
+    rows = table(spark, d, "airline").where("ArrDelay between -180 and 2880 and DepDelay between -180 and 2880").select((F.col("ArrDelay") > 15).cast("int").alias("late"), "DepDelay")
+    return ml.roc(rows, "late", "DepDelay")

@@ -72,7 +72,7 @@ KEYS = ["Origin", "UniqueCarrier"]
 
 @query(
     "p3_found",
-    " UNION ALL ".join(f"SELECT '{c}' AS key_column, {c} AS key_value FROM airline WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM airline)" for c in KEYS),
+    " UNION ALL ".join(f"SELECT '{c}' AS key_column, {c} AS key_value FROM airline WHERE {c} IS NOT NULL GROUP BY {c} HAVING 100 * count(*) >= {round(100 * HEAVY_SHARE)} * (SELECT count(*) FROM airline)" for c in KEYS),
 )
 def p3_found(spark, d):
     return heavy.heavy_keys(table(spark, d, "airline").select(*KEYS), KEYS, HEAVY_SHARE).select("key_column", "key_value")
@@ -106,7 +106,7 @@ def p3_per_key(spark, d):
 
 # --- p7: data quality per column and load ----------------------------------------------------------------------------
 
-NULL_SHARE, BAD_SHARE, DRIFT = 0.20, 0.05, 0.30
+NULL_PERCENT, BAD_PERCENT, DRIFT = 20, 5, 0.30
 WATCHED = ["ArrDelay", "DepTime", "Cancelled", "UniqueCarrier"]
 DELAY_STEPS, TIME_STEPS = (0, 15, 60), (600, 1200, 1800)
 
@@ -145,13 +145,14 @@ def _p7_sql() -> str:
     d AS (SELECT t.load_id, t.column_name, sum(abs(coalesce(l.k, 0) / t.nok - a.p)) / 2 AS drift FROM t JOIN a ON a.column_name = t.column_name
         LEFT JOIN l ON l.load_id = t.load_id AND l.column_name = t.column_name AND l.b = a.b WHERE t.nok > 0 GROUP BY t.load_id, t.column_name)
     SELECT t.load_id, t.column_name FROM t LEFT JOIN d ON d.load_id = t.load_id AND d.column_name = t.column_name
-    WHERE nn > {NULL_SHARE} * n OR n - nn - nok > {BAD_SHARE} * (n - nn) OR coalesce(drift > {DRIFT}, false)"""
+    WHERE 100 * nn > {NULL_PERCENT} * n OR 100 * (n - nn - nok) > {BAD_PERCENT} * (n - nn) OR coalesce(drift > {DRIFT}, false)"""
 
 
 @query("p7_found", _p7_sql())
 def p7_found(spark, d):
     out = profile.profile(spark, f"{d}/airline.parquet", "load_id", quality_rules(spark, d), WATCHED, distinct=False)
-    bad = (F.col("n_null") > NULL_SHARE * F.col("n_rows")) | (F.col("n_disallowed") > BAD_SHARE * (F.col("n_rows") - F.col("n_null"))) | F.coalesce(F.col("drift") > DRIFT, F.lit(False))
+    known = F.col("n_rows") - F.col("n_null")
+    bad = (F.col("n_null") * 100 > F.col("n_rows") * NULL_PERCENT) | (F.col("n_disallowed") * 100 > known * BAD_PERCENT) | F.coalesce(F.col("drift") > DRIFT, F.lit(False))
     return out.where(bad).select("load_id", "column_name")
 
 

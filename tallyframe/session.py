@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,23 @@ def build_session(master: str | None = None, app: str = "tallyframe", **conf: st
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so their Python finds it wherever it is installed here."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tallyframe-"), "tallyframe.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._tallyframe_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder. Set here only where it is unset (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -39,16 +57,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor never recomputes the iterations before it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: columns stay prunable, filters pushable."""
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    This cuts the lineage, so a lost executor never recomputes what came before; columns stay prunable, filters pushable.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
@@ -57,12 +70,3 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def numeric(dtype: str) -> bool:
     return dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal")
-
-
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` doesn't use yet (Spark compares names without regard to case)."""
-    taken = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in taken:
-        name = "_" + name
-    return name

@@ -173,6 +173,7 @@ def test_missing(flights):
 def test_factors(m, flights):
     f = m.new_frame(flights).set_as_factor("Carrier").set_as_factor(1)
     assert f.factor_counts() == {"Year": {"2008": 2, "2009": 1, "2010": 1}, "Carrier": {"WN": 2, "AA": 2}}
+    assert f.level_map("Carrier") == {"AA": 1, "WN": 2}
     assert factors(f.project("Carrier", "id").df) == ["Carrier"] and factors(f.copy().df) == ["Year", "Carrier"]
     assert factors(string_columns_as_factors(flights)) == ["Carrier"]
     with pytest.raises(ValueError):
@@ -218,6 +219,10 @@ def test_models(spark):
     assert [r.yPredict for r in got.collect()] == [1.0, -1.0]
     km = ml.train(spark.createDataFrame([(0.0,), (0.1,), (9.0,), (9.1,)], "x double"), "kmeans", clusters=2)
     assert len({r.yPredict for r in km.transform(spark.createDataFrame([(0.0,), (9.0,)], "x double")).collect()}) == 2
+    given = ml.train(spark.createDataFrame([(0.0,), (0.2,), (9.0,), (9.2,), (None,)], "x double"), "kmeans", clusters=3, centroids=[[1.0], [8.0], [50.0]])
+    assert [[round(v, 6) for v in c] for c in given.raw.centres] == [[0.1], [9.1], [50.0]]
+    curve = ml.roc(spark.createDataFrame([(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.85)], "t int, s double"), "t", "s", 10).collect()
+    assert (curve[0].tpr, curve[0].fpr) == (1.0, 1.0) and curve[-1].tpr == 0.5 and curve[-1].fpr == 0.0
     with pytest.raises(ValueError):
         ml.train(line, "forest")
     c = ml.confusion(spark.createDataFrame([(1, 1.0), (1, 0.0), (0, 1.0), (0, 0.0), (None, 1.0)], "t int, p double"), "t", "p").first()
@@ -245,3 +250,20 @@ def test_manager(m, flights):
     assert g.top(1, "Delay")[0].id == 1 and g.remove_column("Delay").num_columns == 3
     with pytest.raises(NotImplementedError):
         g.subset(["id"], "grep('x', Carrier)")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyframe.__main__ import main
+
+    spark.range(3).write.parquet(f"{tmp_path}/t")
+    assert main(["-p", f"nums={tmp_path}/t", "select count(*) as n from nums"]) == 0
+    assert capsys.readouterr().out.strip() == "3"
+    assert main(["select x from"]) == 1
+
+
+def test_entry_has_every_problem_of_the_core():
+    import __spark_entry__ as entry
+
+    names = set(entry.queries())
+    assert {"p2_found", "p3_found", "p5_found", "p6_found", "p7_found"} <= names
+    assert set(entry.oracle_sql()) <= names
