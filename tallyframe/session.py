@@ -68,5 +68,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table with at least a partition per core, for steps that compute much per row. Large tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def numeric(dtype: str) -> bool:
     return dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal")
