@@ -7,8 +7,9 @@ rounded to logarithmic buckets first, which bounds the size of a part and the er
 Selection is a distributed multi-select. The runs of a group that fit one task (``local_runs``) are settled there by their
 running count. For larger groups every task proposes the weighted median of what is left of its rows, the weighted median
 of the proposals becomes the pivot, rows are counted three ways against it, the ruled-out range is dropped, and so on for
-all groups and ranks at once until every rank is found. A round moves one row per task, group and rank; a group's rows stay
-where they are, so a group that holds a third of all rows is never gathered.
+all groups and ranks at once until every rank is found or its range is down to what fits one task, where the running count
+ends it. A round moves one row per task, group and rank; a group's rows stay where they are, so a group that holds a third of
+all rows is never gathered.
 
 Defined results: null values are skipped, NaN too; a null group is a group; a group without values has no row; the
 percentile at q is the smallest value that at least q of the group's values don't exceed.
@@ -70,7 +71,7 @@ def _weighted_medians(key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tupl
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one task: three-way counts against the pivots, and a proposal for either side, per group and rank.
+    """Of one task: three-way counts (of values and of runs) against the pivots, and a proposal for either side.
 
     Counts add up over Arrow batches; a batch's medians are kept with their weights and merged at the end of the task.
     """
@@ -83,8 +84,9 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = np.where(np.isnan(pivot), 2, np.where(value < pivot, 0, np.where(value == pivot, 1, 2)))
         _, where, inv = np.unique(np.stack([gid, rank]), axis=1, return_index=True, return_inverse=True)
         inv = inv.ravel()
-        tallies = np.zeros((len(where), 3), np.int64)
+        tallies = np.zeros((len(where), 6), np.int64)
         np.add.at(tallies, (inv, side), n)
+        np.add.at(tallies, (inv, side + 3), 1)
         sums.append((gid[where], rank[where], tallies))
         out = side != 1
         k, med, w = _weighted_medians(inv[out] * 3 + side[out], value[out], n[out])
@@ -93,7 +95,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     gid, rank = (np.concatenate([s[i] for s in sums]) for i in (0, 1))
     keys, inv = np.unique(np.stack([gid, rank]), axis=1, return_inverse=True)
-    tallies = np.zeros((keys.shape[1], 3), np.int64)
+    tallies = np.zeros((keys.shape[1], 6), np.int64)
     np.add.at(tallies, inv.ravel(), np.concatenate([s[2] for s in sums]))
     mg, mr, ms, mv, mw = (np.concatenate([m[i] for m in medians]) for i in range(5))
     place = {(g, r): i for i, (g, r) in enumerate(keys.T.tolist())}
@@ -104,12 +106,12 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     best[k // 3, (k % 3) // 2] = med
     weight[k // 3, (k % 3) // 2] = w
     yield pa.RecordBatch.from_arrays(
-        [pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), *[pa.array(tallies[:, i]) for i in range(3)], *[pa.array(best[:, i], from_pandas=True) for i in range(2)], *[pa.array(weight[:, i]) for i in range(2)]],
-        ["gid", "rank", "lt", "eq", "gt", "med_lt", "med_gt", "w_lt", "w_gt"],
+        [pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), *[pa.array(tallies[:, i]) for i in (0, 1, 3, 5)], *[pa.array(best[:, i], from_pandas=True) for i in range(2)], *[pa.array(weight[:, i]) for i in range(2)]],
+        ["gid", "rank", "lt", "eq", "runs_lt", "runs_gt", "med_lt", "med_gt", "w_lt", "w_gt"],
     )
 
 
-PROPOSALS = "gid bigint, rank int, lt bigint, eq bigint, gt bigint, med_lt double, med_gt double, w_lt bigint, w_gt bigint"
+PROPOSALS = "gid bigint, rank int, lt bigint, eq bigint, runs_lt bigint, runs_gt bigint, med_lt double, med_gt double, w_lt bigint, w_gt bigint"
 
 
 def _rank(points: int, total) -> object:
@@ -117,6 +119,12 @@ def _rank(points: int, total) -> object:
     return F.greatest(F.lit(1).cast("bigint"), ((F.lit(points) * total + 9999) / 10000).cast("bigint"))
 
 
+def _within(rows: DataFrame, state: DataFrame, *keep: str) -> DataFrame:
+    """Rows of each group and rank that aren't ruled out."""
+    left = rows.join(state.select("gid", "rank", "lo", "hi", "pivot", *keep), "gid")
+    return left.where((F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi"))))
+
+
 def multi_select(runs: DataFrame, keys: list[str], percents: list[float], local_runs: int = 1024, most_rounds: int = 200) -> DataFrame:
     """keys, percent, n (values in the group), value. ``runs`` must be written or cheap: it is read once or twice a round."""
     points = [round(p * 100) for p in percents]
@@ -138,18 +146,17 @@ def multi_select(runs: DataFrame, keys: list[str], percents: list[float], local_
     null = F.lit(None).cast("double")
     start = F.array(*[F.struct(F.lit(i).alias("rank"), _rank(q, F.col("total")).alias("k")) for i, q in enumerate(points)])
     state = large.select("gid", F.explode(start).alias("x")).select("gid", "x.rank", "x.k", null.alias("lo"), null.alias("hi"), null.alias("pivot"), null.alias("found"))
-    done = None
+    done, ends = None, None
     for _ in range(most_rounds):
-        left = rows.join(state.drop("found", "k"), "gid").where((F.col("lo").isNull() | (F.col("value") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi"))))
-        proposals = left.select("gid", "rank", "value", "n", "pivot").mapInArrow(_propose, PROPOSALS)
+        proposals = _within(rows, state).select("gid", "rank", "value", "n", "pivot").mapInArrow(_propose, PROPOSALS)
         tally = proposals.groupBy("gid", "rank").agg(
-            F.sum("lt").alias("lt"), F.sum("eq").alias("eq"), F.percentile("med_lt", 0.5, F.greatest("w_lt", F.lit(0))).alias("med_lt"), F.percentile("med_gt", 0.5, F.greatest("w_gt", F.lit(0))).alias("med_gt")
+            *[F.sum(c).alias(c) for c in ("lt", "eq", "runs_lt", "runs_gt")], F.percentile("med_lt", 0.5, F.greatest("w_lt", F.lit(0))).alias("med_lt"), F.percentile("med_gt", 0.5, F.greatest("w_gt", F.lit(0))).alias("med_gt")
         )
-        x = state.join(tally, ["gid", "rank"])
-        first, down, here = F.col("pivot").isNull(), F.col("k") <= F.col("lt"), F.col("k") <= F.col("lt") + F.col("eq")
-        down, here = ~first & down, ~first & ~(F.col("k") <= F.col("lt")) & here
+        first, low = F.col("pivot").isNull(), F.col("k") <= F.col("lt")
+        down = ~first & low
+        here = ~first & ~low & (F.col("k") <= F.col("lt") + F.col("eq"))
         up = ~first & ~down & ~here
-        x = x.select(
+        x = state.join(tally, ["gid", "rank"]).select(
             "gid",
             "rank",
             F.when(up, F.col("k") - F.col("lt") - F.col("eq")).otherwise(F.col("k")).alias("k"),
@@ -157,15 +164,20 @@ def multi_select(runs: DataFrame, keys: list[str], percents: list[float], local_
             F.when(down, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
             F.when(down, F.col("med_lt")).otherwise(F.col("med_gt")).alias("pivot"),
             F.when(here, F.col("pivot")).alias("found"),
+            F.when(down, F.col("runs_lt")).otherwise(F.col("runs_gt")).alias("runs"),
         )
         x = written(x, "round")
-        new = x.where("found is not null").select("gid", "rank", "found")
+        new, small = x.where("found is not null").select("gid", "rank", "found"), x.where((F.col("found").isNull()) & (F.col("runs") <= local_runs))
         done = new if done is None else done.unionByName(new)
-        state = x.where("found is null")
+        ends = small if ends is None else ends.unionByName(small)
+        state = x.where(F.col("found").isNull() & (F.col("runs") > local_runs)).drop("runs")
         if state.limit(1).count() == 0:
             break
     else:
         raise RuntimeError("the selection did not end")
+    upto = F.sum("n").over(Window.partitionBy("gid", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    last = _within(rows, ends.drop("runs"), "k").withColumn("upto", upto).where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+    done = done.unionByName(last.select("gid", "rank", F.col("value").alias("found")))
     names = F.array(*[F.lit(float(p)) for p in percents])
     spread = done.join(large, "gid").select(*keys, F.element_at(names, F.col("rank") + 1).alias("percent"), F.col("total").alias("n"), F.col("found").alias("value"))
     return local.unionByName(spread)
