@@ -9,7 +9,7 @@ from tallyframe.llm import percentiles as P
 from tallyframe.llm import mixing, packing, topn, toxicity
 from tallyframe.llm.tokens import token_counts
 from tallyframe.plans import airline
-from tallyframe.session import written
+from tallyframe.session import spread, written
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,7 +89,7 @@ CAPACITY = 2048
 
 @query("p8_packing")
 def p8_packing(spark, d):
-    sizes = token_counts(table(spark, d, "documents"), "text", ["doc_id"])
+    sizes = token_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "text", ["doc_id"])
     return packing.pack_items(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
@@ -102,7 +102,7 @@ def p8_report(spark, d):
 
 
 def _mix(spark, d):
-    docs = written(token_counts(table(spark, d, "documents"), "text", ["doc_id", "source"]), "sized")
+    docs = written(token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text")), "text", ["doc_id", "source"]), "sized")
     rows = table(spark, d, "source_targets").where("source is not null").limit(mixing.MOST_SOURCES + 1).collect()
     targets = [(r.source, r.target_share or 0.0, r.max_repeats or 0) for r in rows]
     # Sources that may be repeated come later, when the others have been seen once.
@@ -125,7 +125,7 @@ def p9_shares(spark, d):
 
 
 def _scored(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     model = toxicity.fit(docs.select("doc_id", "text"), table(spark, d, "doc_labels"))
     return toxicity.score_documents(docs, model, keep=["source"])
 
