@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.operators import heavy, impute, instants, profile
 from tallyframe.plans import airline
+from tallyframe.session import spread
 from tallyframe.sources import records
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ CHECKS = {**{c: records.hhmm for c in airline.TIMES}, "TailNum": records.matches
 
 
 def parsed_lines(spark: SparkSession, d: str, values: bool) -> DataFrame:
-    return records.parse_records(table(spark, d, "airline_raw"), "line", airline.SCHEMA, CHECKS, ["rec_id"], values)
+    return records.parse_records(spread(table(spark, d, "airline_raw").select("rec_id", "line")), "line", airline.SCHEMA, CHECKS, ["rec_id"], values)
 
 
 def _p2_sql() -> str:
