@@ -85,7 +85,7 @@ def _p3_figures() -> tuple[dict, dict]:
     for c in ("ArrDelay", "DepDelay"):
         v = F.when(F.col(c).between(airline.DELAY_LOW, airline.DELAY_HIGH), F.col(c).cast("bigint"))
         parts |= {f"n_{c}": F.count(v), f"sum_{c}": F.sum(v), f"min_{c}": F.min(v), f"max_{c}": F.max(v), f"late_{c}": F.count(F.when(v >= 15, 1))}
-        finals |= {f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6), f"min_{c}": F.col(f"min_{c}"), f"max_{c}": F.col(f"max_{c}"), f"late_{c}": F.col(f"late_{c}")}
+        finals |= {f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6), f"min_{c}": F.col(f"min_{c}").cast("int"), f"max_{c}": F.col(f"max_{c}").cast("int"), f"late_{c}": F.col(f"late_{c}")}
     return parts, finals
 
 
