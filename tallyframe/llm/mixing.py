@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.session import written
+
 
 MOST_SOURCES = 10_000
 
@@ -58,12 +58,17 @@ def _position(u):
     return F.least(F.lit(1.0), t0 + F.when(w0 + root > 0, 2 * rest / (w0 + root)).otherwise(F.lit(0.0)))
 
 
-def plan_mix(docs: DataFrame, targets: list[tuple[str, float, int]], source: str = "source", size: str = "n_tokens", shapes: dict[str, list[float]] | None = None, knots: list[float] | None = None, total: float | None = None) -> list[dict]:
+def plan_mix(
+    docs: DataFrame, targets: list[tuple[str, float, int]], source: str = "source", size: str = "n_tokens",
+    shapes: dict[str, list[float]] | None = None, knots: list[float] | None = None, total: float | None = None,
+) -> list[dict]:
     """Per usable source: tokens there are, share, demand, passes and the schedule. The driver sees one row per target source."""
     if len(targets) > MOST_SOURCES:
         raise ValueError("too many sources for one mix")
     names = [s for s, _, _ in targets]
-    have = {r[0]: (r.tokens, r.docs) for r in docs.where(F.col(source).isin(names)).groupBy(source).agg(F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
+    have = {r[0]: (r.tokens, r.docs) for r in docs.where(F.col(source).isin(names)).groupBy(source).agg(
+        F.sum(size).alias("tokens"), F.count(F.lit(1)).alias("docs"),
+    ).collect()}
     usable = [(s, p, m) for s, p, m in targets if p > 0 and m > 0 and have.get(s, (0, 0))[0] > 0]
     if not usable:
         return []
@@ -77,7 +82,11 @@ def plan_mix(docs: DataFrame, targets: list[tuple[str, float, int]], source: str
         w, t = np.array(weights[s]), np.array(knots)
         at = np.append(0.0, np.cumsum((w[1:] + w[:-1]) / 2 * np.diff(t)))
         demand = p / scale * total
-        out.append({"source": s, "tokens": int(have[s][0]), "docs": int(have[s][1]), "demand": float(demand), "total": float(total), "passes": int(np.ceil(demand / have[s][0] - 1e-9)), "t": [float(v) for v in t], "w": [float(v) for v in w], "at": [float(v) for v in at]})
+        out.append({
+            "source": s, "tokens": int(have[s][0]), "docs": int(have[s][1]), "demand": float(demand),
+            "total": float(total), "passes": int(np.ceil(demand / have[s][0] - 1e-9)), "t": [float(v) for v in t],
+            "w": [float(v) for v in w], "at": [float(v) for v in at],
+        })
     return out
 
 
@@ -94,14 +103,20 @@ def mix(docs: DataFrame, plan: list[dict], ident: str = "doc_id", source: str =
         "s string, have bigint, demand double, total double, passes int, buckets bigint, t array<double>, w array<double>, at array<double>",
     )
     d = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{source}`").alias("s0"), F.col(f"`{size}`").cast("bigint").alias("n"))
-    copies = d.join(F.broadcast(side.select("s", "passes", "buckets")), F.col("s0") == F.col("s")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    copies = copies.withColumn("h", F.xxhash64("id", "copy")).withColumn("b", F.pmod(F.shiftrightunsigned("h", 20), F.col("buckets"))).select("id", "s", "n", "copy", "h", "b")
+    copies = d.join(
+        F.broadcast(side.select("s", "passes", "buckets")), F.col("s0") == F.col("s"),
+    ).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    copies = copies.withColumn("h", F.xxhash64("id", "copy")).withColumn(
+        "b", F.pmod(F.shiftrightunsigned("h", 20), F.col("buckets")),
+    ).select("id", "s", "n", "copy", "h", "b")
     sums = copies.groupBy("s", "copy", "b").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("s", "copy").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # buckets, not rows
     sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket")
     own = F.sum("n").over(Window.partitionBy("s", "copy", "b").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
     placed = copies.withColumn("own", own).join(sums, ["s", "copy", "b"])
-    placed = placed.join(F.broadcast(side.drop("passes", "buckets")), "s").withColumn("mid", F.col("copy") * F.col("have") + F.col("before") + F.col("own") - F.col("n") / 2)
+    placed = placed.join(F.broadcast(side.drop("passes", "buckets")), "s").withColumn(
+        "mid", F.col("copy") * F.col("have") + F.col("before") + F.col("own") - F.col("n") / 2,
+    )
     used = placed.where(F.col("mid") <= F.col("demand")).withColumn("position", _position(F.col("mid") / F.col("total")))
     out = used.select(F.col("id").alias(ident), F.col("s").alias("source"), F.col("copy").alias("copy_no"), F.col("n").alias("n_tokens"), "position")
     return out.orderBy("position", "source", ident, "copy_no")
@@ -118,5 +133,8 @@ def share_report(docs: DataFrame, mixed: DataFrame, targets: DataFrame, source:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     total = F.sum(zero("used_tokens")).over(Window.partitionBy(F.lit(1)))  # one row per source
     return out.select(
-        "source", zero("docs").alias("docs"), zero("tokens").alias("tokens"), zero("used_docs").alias("used_docs"), zero("used_tokens").alias("used_tokens"), zero("most_uses").alias("most_uses"), zero("max_repeats").alias("max_repeats"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce(zero("used_tokens") / total, F.lit(0.0)).alias("actual_share")
+        "source", zero("docs").alias("docs"), zero("tokens").alias("tokens"), zero("used_docs").alias("used_docs"),
+        zero("used_tokens").alias("used_tokens"), zero("most_uses").alias("most_uses"),
+        zero("max_repeats").alias("max_repeats"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"),
+        F.coalesce(zero("used_tokens") / total, F.lit(0.0)).alias("actual_share"),
     )

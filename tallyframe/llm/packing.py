@@ -58,7 +58,10 @@ def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: flo
     return where, at
 
 
-def pack_items(items: DataFrame, ident: str, size: str, capacity: int = 2048, pool_containers: int = 512, linear: float = 1.0, quadratic: float = 1.0 / 4096) -> DataFrame:
+def pack_items(
+    items: DataFrame, ident: str, size: str, capacity: int = 2048, pool_containers: int = 512, linear: float = 1.0,
+    quadratic: float = 1.0 / 4096,
+) -> DataFrame:
     """(ident, piece_no, first_token, n_tokens, container_id, start): one row per piece; every item has at least one."""
     if capacity < 1:
         raise ValueError("the capacity must be positive")
@@ -70,14 +73,20 @@ def pack_items(items: DataFrame, ident: str, size: str, capacity: int = 2048, po
     last = F.greatest(F.lit(0).cast("bigint"), F.ceil(F.col("n") / capacity) - 1)
     pieces = sized.select("id", "n", F.pmod(F.xxhash64("mix"), F.lit(pools)).alias("pool"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
     first = F.col("piece") * capacity
-    pieces = pieces.select("pool", "id", F.col("piece").cast("int").alias("piece_no"), first.alias("first_token"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - first).alias("n_tokens"))
+    pieces = pieces.select(
+        "pool", "id", F.col("piece").cast("int").alias("piece_no"), first.alias("first_token"),
+        F.least(F.lit(capacity).cast("bigint"), F.col("n") - first).alias("n_tokens"),
+    )
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n_tokens", "descending"), ("id", "ascending"), ("piece_no", "ascending")])
         where, at = pack(group.column("n_tokens").to_numpy(), capacity, linear, quadratic)
         pool = group.column("pool")[0].as_py()
         cols = [group.column(c) for c in ("id", "piece_no", "first_token", "n_tokens")]
-        return pa.Table.from_arrays([*cols, pa.array(where + (pool << POOL_BITS)), pa.array(at)], ["id", "piece_no", "first_token", "n_tokens", "container_id", "start"])
+        return pa.Table.from_arrays(
+            [*cols, pa.array(where + (pool << POOL_BITS)), pa.array(at)],
+            ["id", "piece_no", "first_token", "n_tokens", "container_id", "start"],
+        )
 
     out = pieces.groupBy("pool").applyInArrow(run, f"id {kind}, piece_no int, first_token bigint, n_tokens bigint, container_id bigint, start bigint")
     return out.withColumnRenamed("id", ident)
@@ -86,7 +95,12 @@ def pack_items(items: DataFrame, ident: str, size: str, capacity: int = 2048, po
 def fill_report(packed: DataFrame, capacity: int = 2048, linear: float = 1.0, quadratic: float = 1.0 / 4096) -> DataFrame:
     """One row: containers, pieces, tokens, share of room used, and the spread of container costs."""
     n = F.col("n_tokens").cast("double")
-    per = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.sum(linear * n + quadratic * n * n).alias("cost"))
+    per = packed.groupBy("container_id").agg(
+        F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"),
+        F.sum(linear * n + quadratic * n * n).alias("cost"),
+    )
     return per.agg(
-        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("used"), F.max("tokens").alias("fullest"), F.avg("cost").alias("mean_cost"), F.stddev_samp("cost").alias("stdev_cost")
+        F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"),
+        (F.sum("tokens") / (F.count(F.lit(1)) * capacity)).alias("used"), F.max("tokens").alias("fullest"),
+        F.avg("cost").alias("mean_cost"), F.stddev_samp("cost").alias("stdev_cost"),
     )

@@ -106,7 +106,10 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     best[k // 3, (k % 3) // 2] = med
     weight[k // 3, (k % 3) // 2] = w
     yield pa.RecordBatch.from_arrays(
-        [pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), *[pa.array(tallies[:, i]) for i in (0, 1, 3, 5)], *[pa.array(best[:, i], from_pandas=True) for i in range(2)], *[pa.array(weight[:, i]) for i in range(2)]],
+        [
+            pa.array(keys[0]), pa.array(keys[1].astype(np.int32)), *[pa.array(tallies[:, i]) for i in (0, 1, 3, 5)],
+            *[pa.array(best[:, i], from_pandas=True) for i in range(2)], *[pa.array(weight[:, i]) for i in range(2)],
+        ],
         ["gid", "rank", "lt", "eq", "runs_lt", "runs_gt", "med_lt", "med_gt", "w_lt", "w_gt"],
     )
 
@@ -145,12 +148,16 @@ def multi_select(runs: DataFrame, keys: list[str], percents: list[float], local_
     rows = written(runs.alias("a").join(large.alias("b"), same).select("b.gid", "a.value", "a.n"), "rows")
     null = F.lit(None).cast("double")
     start = F.array(*[F.struct(F.lit(i).alias("rank"), _rank(q, F.col("total")).alias("k")) for i, q in enumerate(points)])
-    state = large.select("gid", F.explode(start).alias("x")).select("gid", "x.rank", "x.k", null.alias("lo"), null.alias("hi"), null.alias("pivot"), null.alias("found"))
+    state = large.select("gid", F.explode(start).alias("x")).select(
+        "gid", "x.rank", "x.k", null.alias("lo"), null.alias("hi"), null.alias("pivot"), null.alias("found"),
+    )
     done, ends = None, None
     for _ in range(most_rounds):
         proposals = _within(rows, state).select("gid", "rank", "value", "n", "pivot").mapInArrow(_propose, PROPOSALS)
         tally = proposals.groupBy("gid", "rank").agg(
-            *[F.sum(c).alias(c) for c in ("lt", "eq", "runs_lt", "runs_gt")], F.percentile("med_lt", 0.5, F.greatest("w_lt", F.lit(0))).alias("med_lt"), F.percentile("med_gt", 0.5, F.greatest("w_gt", F.lit(0))).alias("med_gt")
+            *[F.sum(c).alias(c) for c in ("lt", "eq", "runs_lt", "runs_gt")],
+            F.percentile("med_lt", 0.5, F.greatest("w_lt", F.lit(0))).alias("med_lt"),
+            F.percentile("med_gt", 0.5, F.greatest("w_gt", F.lit(0))).alias("med_gt"),
         )
         first, low = F.col("pivot").isNull(), F.col("k") <= F.col("lt")
         down = ~first & low
@@ -183,7 +190,10 @@ def multi_select(runs: DataFrame, keys: list[str], percents: list[float], local_
     return local.unionByName(spread)
 
 
-def percentiles(parts: DataFrame, groups: list[str], sets: dict[str, list[str]], percents: list[float], relative_error: float | None = None, local_runs: int = 1024) -> DataFrame:
+def percentiles(
+    parts: DataFrame, groups: list[str], sets: dict[str, list[str]], percents: list[float],
+    relative_error: float | None = None, local_runs: int = 1024,
+) -> DataFrame:
     """grouping, groups, column_name, percent, n, value, error_bound from parts made with the same ``relative_error``."""
     runs = written(roll_up(parts, groups, sets), "runs")
     out = multi_select(runs, ["grouping", *groups, "column_name"], percents, local_runs)
