@@ -50,7 +50,10 @@ def breaks_for(df: DataFrame, column: str, kind: str, bins: int | None, breaks:
     raise ValueError(f"unknown binning type {kind!r}")
 
 
-def binning(df: DataFrame, column: str, kind: str, bins: int | None = None, breaks: list[float] | None = None, include_lowest: bool = True, right: bool = True, exact: bool = True) -> DataFrame:
+def binning(
+    df: DataFrame, column: str, kind: str, bins: int | None = None, breaks: list[float] | None = None,
+    include_lowest: bool = True, right: bool = True, exact: bool = True,
+) -> DataFrame:
     """Replace ``column`` by its interval label and drop rows outside the breaks; the result is a factor.
 
     Boundary modes: the lowest bound is kept if ``include_lowest``, the highest if ``right``; with both off, values

@@ -51,7 +51,8 @@ def sketch(df: DataFrame, columns: list[str], capacity: int) -> DataFrame:
                 seen[i] = shrink(counts, capacity)
         out = [(c, k, n) for c, counts in zip(columns, seen) for k, n in counts.items()] + [(None, None, rows)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())], ["key_column", "key_value", "n"]
+            [pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.int64())],
+            ["key_column", "key_value", "n"],
         )
 
     return source.mapInArrow(run, "key_column string, key_value string, n bigint")

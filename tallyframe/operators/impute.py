@@ -197,7 +197,10 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
 
     weigh = next(f for f in numbers if f.name == cat.weigh)
     size = len(cat.edges) + 1
-    seen = df.where(cat.value.isNotNull()).select(cat.value.alias("category"), F.when(good[weigh.name], _bucket(F.col(weigh.name), cat.edges)).alias("bucket"), *[c.alias(n) for n, c in cat.keys.items()])
+    seen = df.where(cat.value.isNotNull()).select(
+        cat.value.alias("category"), F.when(good[weigh.name], _bucket(F.col(weigh.name), cat.edges)).alias("bucket"),
+        *[c.alias(n) for n, c in cat.keys.items()],
+    )
     counted = written(seen.groupBy("category", "bucket", *cat.keys).agg(F.count(F.lit(1)).alias("n")), "evidence")
     known = F.sum(F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0))
     share = [(F.sum(F.when(F.col("bucket") == i, F.col("n")).otherwise(0)) + 1.0) / (known + float(size)) for i in range(size)]
@@ -221,7 +224,10 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
             noise = F.element_at(F.array(*[F.lit(float(v)) for v in quantiles[k]]), (F.round(at * 100) + 1).cast("int"))
             guess = F.coalesce(F.col(f"__a{k}"), F.lit(fits[k][1])) + _line([c.cast("double") for c in f.features(work)], fits[k][0]) + noise
             new[f"__w_{f.name}"] = F.when(F.col(f"__good{k}"), work[f.name]).otherwise(F.round(F.greatest(F.lit(f.low), F.least(F.lit(f.high), guess))))
-        state = written(state.join(levels, F.col("__category") == F.col("__cat"), "left").drop("__cat").withColumns(new).drop(*[f"__a{k}" for k in range(count)]), "state")
+        state = written(
+            state.join(levels, F.col("__category") == F.col("__cat"), "left").drop("__cat").withColumns(new).drop(*[f"__a{k}" for k in range(count)]),
+            "state",
+        )
 
     kinds = {f.name: f.dataType for f in df.schema}
     filled, plain = {}, {}

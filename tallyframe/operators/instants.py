@@ -122,7 +122,10 @@ def day_number(y, m, d) -> int | None:
         return None
 
 
-def normalise_times(df: DataFrame, id_column: str, source: str, zone: str, date_columns: tuple[str, str, str], fields: list[TimeField], run_length: int = 4096) -> DataFrame:
+def normalise_times(
+    df: DataFrame, id_column: str, source: str, zone: str, date_columns: tuple[str, str, str], fields: list[TimeField],
+    run_length: int = 4096,
+) -> DataFrame:
     """(id, column_name, text, format, status, utc_us): one row per record and field.
 
     A text without an offset is local time in ``zone`` (a zone name or an offset) or else in the zone its field names. An
@@ -152,7 +155,8 @@ def normalise_times(df: DataFrame, id_column: str, source: str, zone: str, date_
                 for k, v in enumerate((ident, f.column, col[5 + j][i], FORMATS[r[0]] if r else None, status, instants[0] if status == "ok" else None)):
                     out[k].append(v)
         return pa.Table.from_arrays(
-            [pa.array(out[0], group.schema.field("c0").type), *[pa.array(x, pa.string()) for x in out[1:5]], pa.array(out[5], pa.int64())], ["id", "column_name", "text", "format", "status", "utc_us"]
+            [pa.array(out[0], group.schema.field("c0").type), *[pa.array(x, pa.string()) for x in out[1:5]], pa.array(out[5], pa.int64())],
+            ["id", "column_name", "text", "format", "status", "utc_us"],
         )
 
     done = rows.groupBy("__source", "__run").applyInArrow(run, f"id {kind}, column_name string, text string, format string, status string, utc_us bigint")

@@ -32,7 +32,10 @@ def drop_na(df: DataFrame, by: str = "row", how: str = "any", thresh: int = 0, c
     return df.select(*[c for c in df.columns if c in known and known[c] >= least])
 
 
-def fill_na(df: DataFrame, value: str | float | None = None, method: str | None = None, fn: str | None = None, values: dict | None = None, columns: list[str] | None = None) -> DataFrame:
+def fill_na(
+    df: DataFrame, value: str | float | None = None, method: str | None = None, fn: str | None = None,
+    values: dict | None = None, columns: list[str] | None = None,
+) -> DataFrame:
     """Fill nulls by one value, else by a value per column, else by an aggregate of the column (numeric ones only).
 
     A value that can't be read as a column's type leaves that column as it was. Columns outside ``columns`` are kept.

@@ -61,7 +61,10 @@ def mlr(df: DataFrame, iterations: int = 100, tolerance: float = 1e-6) -> Model:
 def als(df: DataFrame, factors: int = 10, regularization: float = 0.1, iterations: int = 10, blocks: int = 10, seed: int = 0) -> Model:
     """Columns by position: user, item, rating."""
     u, i, r = df.columns[:3]
-    raw = ALS(userCol=u, itemCol=i, ratingCol=r, rank=factors, regParam=regularization, maxIter=iterations, numUserBlocks=blocks, numItemBlocks=blocks, seed=seed, coldStartStrategy="nan").fit(df.select(u, i, r).dropna())
+    raw = ALS(
+        userCol=u, itemCol=i, ratingCol=r, rank=factors, regParam=regularization, maxIter=iterations,
+        numUserBlocks=blocks, numItemBlocks=blocks, seed=seed, coldStartStrategy="nan",
+    ).fit(df.select(u, i, r).dropna())
     return Model("als", raw, [u, i])
 
 

@@ -73,7 +73,10 @@ def five_num(df: DataFrame, columns: list[str] | None = None, exact: bool = True
     columns = columns or numeric_columns(df)
     need_numeric(df, *columns)
     q = (lambda p: lambda c: F.percentile(c, F.lit(p))) if exact else (lambda p: lambda c: F.percentile_approx(F.col(c).cast("double"), p, 10000))
-    return _long(df, columns, {"min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")), "q1": q(0.25), "median": q(0.5), "q3": q(0.75)})
+    return _long(
+        df, columns,
+        {"min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")), "q1": q(0.25), "median": q(0.5), "q3": q(0.75)},
+    )
 
 
 def quantiles(df: DataFrame, column: str, probs: list[float], exact: bool = True) -> DataFrame:

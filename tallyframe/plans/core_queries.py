@@ -46,7 +46,10 @@ def rounded(df: DataFrame, places: int = 4, *columns: str) -> DataFrame:
 def holed(spark: SparkSession, d: str) -> DataFrame:
     """events with nulls made by rule in two columns."""
     e = table(spark, d, "events")
-    return e.select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"))
+    return e.select(
+        "event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"),
+        F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"),
+    )
 
 
 HOLED = "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type FROM events"
@@ -54,21 +57,36 @@ HOLED = "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, C
 # --- SQL front end ---------------------------------------------------------------------------------------------------
 
 SQL_TEXTS = {
-    "sql_select_star": ("SELECT * FROM supplier JOIN nation ON (s_nationkey = n_nationkey)", ["supplier", "nation"], "SELECT s.* FROM supplier s JOIN nation ON s_nationkey = n_nationkey"),
-    "sql_project": ("SELECT c_custkey, c_name AS name, c_nationkey + 1 AS nk FROM customer", ["customer"], "SELECT c_custkey, c_name AS name, c_nationkey + 1 AS nk FROM customer"),
+    "sql_select_star": (
+        "SELECT * FROM supplier JOIN nation ON (s_nationkey = n_nationkey)", ["supplier", "nation"],
+        "SELECT s.* FROM supplier s JOIN nation ON s_nationkey = n_nationkey",
+    ),
+    "sql_project": (
+        "SELECT c_custkey, c_name AS name, c_nationkey + 1 AS nk FROM customer", ["customer"],
+        "SELECT c_custkey, c_name AS name, c_nationkey + 1 AS nk FROM customer",
+    ),
     "sql_where": (
         "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30 && (l_returnflag === 'A' || l_returnflag = 'R')",
         ["lineitem"],
         "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30 AND (l_returnflag = 'A' OR l_returnflag = 'R')",
     ),
-    "sql_where_null": ("SELECT row_id, Origin FROM airline WHERE ArrDelay.isNull AND DepDelay.isNotNull", ["airline"], "SELECT row_id, Origin FROM airline WHERE ArrDelay IS NULL AND DepDelay IS NOT NULL"),
+    "sql_where_null": (
+        "SELECT row_id, Origin FROM airline WHERE ArrDelay.isNull AND DepDelay.isNotNull", ["airline"],
+        "SELECT row_id, Origin FROM airline WHERE ArrDelay IS NULL AND DepDelay IS NOT NULL",
+    ),
     "sql_group": (
         "SELECT l_returnflag, COUNT(*) AS n, SUM(l_linenumber) AS s, MIN(l_quantity) AS lo, MAX(l_quantity) AS hi, COUNT(l_tax) AS nt FROM lineitem GROUP BY l_returnflag",
         ["lineitem"],
         "SELECT l_returnflag, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi, count(l_tax) AS nt FROM lineitem GROUP BY l_returnflag",
     ),
-    "sql_global_agg": ("SELECT SUM(l_linenumber) AS s, COUNT(*) AS n, MAX(l_quantity) AS hi FROM lineitem", ["lineitem"], "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS n, max(l_quantity) AS hi FROM lineitem"),
-    "sql_order": ("SELECT r_name, r_regionkey FROM region ORDER BY r_regionkey DESC", ["region"], "SELECT r_name, r_regionkey FROM region ORDER BY r_regionkey DESC"),
+    "sql_global_agg": (
+        "SELECT SUM(l_linenumber) AS s, COUNT(*) AS n, MAX(l_quantity) AS hi FROM lineitem", ["lineitem"],
+        "SELECT CAST(sum(l_linenumber) AS BIGINT) AS s, count(*) AS n, max(l_quantity) AS hi FROM lineitem",
+    ),
+    "sql_order": (
+        "SELECT r_name, r_regionkey FROM region ORDER BY r_regionkey DESC", ["region"],
+        "SELECT r_name, r_regionkey FROM region ORDER BY r_regionkey DESC",
+    ),
     "sql_topk": (
         "SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey ASC LIMIT 20",
         ["orders"],
@@ -79,9 +97,15 @@ SQL_TEXTS = {
         ["airline", "year_names"],
         "SELECT row_id, Name FROM airline LEFT JOIN year_names ON Year = Year_num WHERE Year_num > 2008 OR (Month = 1 AND Cancelled = 1)",
     ),
-    "fn_substr": ("SELECT p_partkey, SUBSTRING(p_name, 1, 5) AS head, SUBSTR(p_name, 3) AS rest FROM part", ["part"], "SELECT p_partkey, substring(p_name, 1, 5) AS head, substring(p_name, 3) AS rest FROM part"),
+    "fn_substr": (
+        "SELECT p_partkey, SUBSTRING(p_name, 1, 5) AS head, SUBSTR(p_name, 3) AS rest FROM part", ["part"],
+        "SELECT p_partkey, substring(p_name, 1, 5) AS head, substring(p_name, 3) AS rest FROM part",
+    ),
     "fn_abs": ("SELECT c_custkey, ABS(c_acctbal) AS bal FROM customer", ["customer"], "SELECT c_custkey, abs(c_acctbal) AS bal FROM customer"),
-    "fn_cast": ("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS int) AS q FROM lineitem", ["lineitem"], "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INTEGER) AS q FROM lineitem"),
+    "fn_cast": (
+        "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS int) AS q FROM lineitem", ["lineitem"],
+        "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS INTEGER) AS q FROM lineitem",
+    ),
     "fn_arith": (
         "SELECT o_orderkey, o_totalprice * 2 - 1 AS a, o_orderkey % 7 AS b FROM orders WHERE o_orderkey !== 5",
         ["orders"],
@@ -175,7 +199,10 @@ def join_multikey(spark, d):
     return R.join(t.select("l_orderkey", "l_linenumber", "l_quantity"), t.select("l_orderkey", "l_linenumber", "l_tax"), "inner", ["l_orderkey", "l_linenumber"])
 
 
-@query("merge_union_all", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+@query(
+    "merge_union_all",
+    "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'",
+)
 def merge_union_all(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     return R.merge(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'P'"))
@@ -205,7 +232,10 @@ def agg_multi(spark, d):
     return rounded(A.aggregate(table(spark, d, "airline"), "UniqueCarrier, Cancelled, avg(ArrDelay), max(DepDelay)"))
 
 
-@query("agg_xtabs", "SELECT Month, DayOfWeek, CAST(count(row_id) AS DOUBLE) AS COUNT_row_id FROM airline WHERE Month IS NOT NULL AND DayOfWeek IS NOT NULL GROUP BY Month, DayOfWeek")
+@query(
+    "agg_xtabs",
+    "SELECT Month, DayOfWeek, CAST(count(row_id) AS DOUBLE) AS COUNT_row_id FROM airline WHERE Month IS NOT NULL AND DayOfWeek IS NOT NULL GROUP BY Month, DayOfWeek",
+)
 def agg_xtabs(spark, d):
     return A.aggregate(table(spark, d, "airline"), "Month, DayOfWeek, count(row_id)")
 
@@ -215,7 +245,10 @@ def agg_xtabs(spark, d):
     "SELECT event_type, round(avg(value), 4) AS m, round(avg(value), 4) AS a, max(value) AS hi, min(value) AS lo, round(sum(value), 2) AS s, CAST(count(value) AS DOUBLE) AS n FROM events GROUP BY event_type",
 )
 def agg_functions(spark, d):
-    out = A.group_by(table(spark, d, "events"), ["event_type"], ["m=mean(value)", "a=avg(value)", "hi=max(value)", "lo=min(value)", "s=sum(value)", "n=count(value)"])
+    out = A.group_by(
+        table(spark, d, "events"), ["event_type"],
+        ["m=mean(value)", "a=avg(value)", "hi=max(value)", "lo=min(value)", "s=sum(value)", "n=count(value)"],
+    )
     return rounded(rounded(out, 4, "m", "a"), 2, "s")
 
 
@@ -277,13 +310,19 @@ def stat_distinct_levels(spark, d):
 
 @query(
     "stat_five_num",
-    _each("CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3", "mtcars", ["mpg", "hp", "wt"]),
+    _each(
+        "CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3",
+        "mtcars", ["mpg", "hp", "wt"],
+    ),
 )
 def stat_five_num(spark, d):
     return rounded(stats.five_num(table(spark, d, "mtcars"), ["mpg", "hp", "wt"]), 4, "q1", "median", "q3")
 
 
-@query("stat_quantiles", " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS prob, CAST(floor(quantile_cont(ArrDelay, {p})) AS DOUBLE) AS value FROM airline" for p in (0.3, 0.5, 0.7)))
+@query(
+    "stat_quantiles",
+    " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS prob, CAST(floor(quantile_cont(ArrDelay, {p})) AS DOUBLE) AS value FROM airline" for p in (0.3, 0.5, 0.7)),
+)
 def stat_quantiles(spark, d):
     return stats.quantiles(table(spark, d, "airline"), "ArrDelay", [0.3, 0.5, 0.7])
 
@@ -358,7 +397,9 @@ def bin_equal_freq(spark, d):
 
 for _low, _right in ((True, False), (False, True), (False, False)):
     _names = B.labels([1, 6, 12], _low, _right)
-    _conds = ["Month > 1 AND Month <= 6", "Month > 6 AND Month <= 12"] if _right else ["Month >= 1 AND Month < 6", "Month >= 6 AND Month < 12"] if _low else ["Month > 1 AND Month < 6", "Month > 6 AND Month < 12"]
+    _conds = [
+        "Month > 1 AND Month <= 6", "Month > 6 AND Month <= 12",
+    ] if _right else ["Month >= 1 AND Month < 6", "Month >= 6 AND Month < 12"] if _low else ["Month > 1 AND Month < 6", "Month > 6 AND Month < 12"]
     query(f"bin_bounds_{'low' if _low else 'nolow'}_{'right' if _right else 'noright'}", _bin_sql(list(zip(_conds, _names))))(
         lambda spark, d, _l=_low, _r=_right: _bin(spark, d, "CUSTOM", breaks=[1, 6, 12], include_lowest=_l, right=_r)
     )
@@ -409,7 +450,10 @@ def na_fill_agg(spark, d):
 
 @query("transform_expr", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
 def transform_expr(spark, d):
-    return rounded(transform.transform_expr(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), "net = l_extendedprice * (1 - l_discount)").select("l_orderkey", "l_linenumber", "net"))
+    return rounded(transform.transform_expr(
+        table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"),
+        "net = l_extendedprice * (1 - l_discount)",
+    ).select("l_orderkey", "l_linenumber", "net"))
 
 
 @query("transform_mapreduce", "SELECT CAST(Month AS VARCHAR) AS key, CAST(sum(DayOfWeek) AS BIGINT) AS val FROM airline WHERE Month IS NOT NULL GROUP BY Month")
@@ -418,12 +462,18 @@ def transform_mapreduce(spark, d):
     return transform.map_reduce(rows, lambda b: b.rename(columns={"Month": "key", "DayOfWeek": "val"}), "sum", "bigint")
 
 
-@query("scale_minmax", "SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer")
+@query(
+    "scale_minmax",
+    "SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / (SELECT max(c_acctbal) - min(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer",
+)
 def scale_minmax(spark, d):
     return rounded(transform.scale_minmax(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), 6)
 
 
-@query("scale_standard", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer")
+@query(
+    "scale_standard",
+    "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_samp(c_acctbal) FROM customer), 6) AS c_acctbal FROM customer",
+)
 def scale_standard(spark, d):
     return rounded(transform.scale_standard(table(spark, d, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"]), 6)
 
@@ -506,7 +556,10 @@ def ml_kmeans_given(spark, d):
     return ml.k_means(rows, 2, 5, centroids=[[30.0, 80.0, 2.0], [15.0, 200.0, 4.0]]).transform(rows)
 
 
-@query("ml_regression_metrics", "SELECT round(1 - sum(e * e) / (var_pop(ArrDelay) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean_residual FROM (SELECT ArrDelay, CAST(ArrDelay - DepDelay AS DOUBLE) AS e FROM airline) WHERE e IS NOT NULL")
+@query(
+    "ml_regression_metrics",
+    "SELECT round(1 - sum(e * e) / (var_pop(ArrDelay) * count(*)), 6) AS r2, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS mean_residual FROM (SELECT ArrDelay, CAST(ArrDelay - DepDelay AS DOUBLE) AS e FROM airline) WHERE e IS NOT NULL",
+)
 def ml_regression_metrics(spark, d):
     from tallyframe.operators import ml
 

@@ -60,7 +60,10 @@ def p2_found(spark, d):
     return parsed_lines(spark, d, False).where("reason is not null").select("rec_id", "reason")
 
 
-@query("p2_loaded", _p2_sql() + "SELECT rec_id, " + ", ".join(f"v[{i + 1}] AS {c}" if c in airline.TEXT else f"CAST(v[{i + 1}] AS INTEGER) AS {c}" for i, c in enumerate(airline.COLUMNS)) + " FROM r WHERE reason IS NULL")
+@query(
+    "p2_loaded",
+    _p2_sql() + "SELECT rec_id, " + ", ".join(f"v[{i + 1}] AS {c}" if c in airline.TEXT else f"CAST(v[{i + 1}] AS INTEGER) AS {c}" for i, c in enumerate(airline.COLUMNS)) + " FROM r WHERE reason IS NULL",
+)
 def p2_loaded(spark, d):
     return records.split(parsed_lines(spark, d, True))[0]
 
@@ -85,7 +88,11 @@ def _p3_figures() -> tuple[dict, dict]:
     for c in ("ArrDelay", "DepDelay"):
         v = F.when(F.col(c).between(airline.DELAY_LOW, airline.DELAY_HIGH), F.col(c).cast("bigint"))
         parts |= {f"n_{c}": F.count(v), f"sum_{c}": F.sum(v), f"min_{c}": F.min(v), f"max_{c}": F.max(v), f"late_{c}": F.count(F.when(v >= 15, 1))}
-        finals |= {f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6), f"min_{c}": F.col(f"min_{c}").cast("int"), f"max_{c}": F.col(f"max_{c}").cast("int"), f"late_{c}": F.col(f"late_{c}")}
+        finals |= {
+            f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6),
+            f"min_{c}": F.col(f"min_{c}").cast("int"), f"max_{c}": F.col(f"max_{c}").cast("int"),
+            f"late_{c}": F.col(f"late_{c}"),
+        }
     return parts, finals
 
 
@@ -185,7 +192,10 @@ TIME_FIELDS = [
 def flight_instants(spark: SparkSession, d: str) -> DataFrame:
     times, ports = table(spark, d, "flight_times"), table(spark, d, "airports")
     for col, name in (("Origin", "__origin_tz"), ("Dest", "__dest_tz")):
-        times = times.join(ports.select(F.col("iata").alias(f"{name}_iata"), F.col("tz").alias(name)), F.col(col) == F.col(f"{name}_iata"), "left").drop(f"{name}_iata")
+        times = times.join(
+            ports.select(F.col("iata").alias(f"{name}_iata"), F.col("tz").alias(name)),
+            F.col(col) == F.col(f"{name}_iata"), "left",
+        ).drop(f"{name}_iata")
     return instants.normalise_times(times, "time_id", "feed", "zone", ("Year", "Month", "DayofMonth"), TIME_FIELDS)
 
 
@@ -219,7 +229,10 @@ def _delay_field(name: str, time: str, planned: str, other: str) -> impute.Numer
 
     def features(work: dict[str, Column]) -> list[Column]:
         near = work[other] + _wrapped(shift - work[other])
-        return [F.coalesce(near, work[other]), F.when(near.isNull(), 1).otherwise(0), work[other], F.coalesce(longer, F.lit(0)), F.when(longer.isNull(), 1).otherwise(0)]
+        return [
+            F.coalesce(near, work[other]), F.when(near.isNull(), 1).otherwise(0), work[other],
+            F.coalesce(longer, F.lit(0)), F.when(longer.isNull(), 1).otherwise(0),
+        ]
 
     usable = F.col(name).between(airline.DELAY_LOW, airline.DELAY_HIGH)
     return impute.NumericField(name, usable, F.col(time).isNotNull(), features, F.coalesce(_wrapped(shift), F.lit(0)), airline.DELAY_LOW, airline.DELAY_HIGH)

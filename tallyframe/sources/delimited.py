@@ -14,7 +14,9 @@ SAMPLE_LINES = 5
 def _texts(spark: SparkSession, path: str, width: int, sep: str, null: str | None, empty: str | None) -> DataFrame:
     """Every cell as text. Lines are records; short ones are padded with nulls, surplus cells are dropped."""
     names = T.StructType([T.StructField(f"_{i}", T.StringType(), True) for i in range(width)])
-    reader = spark.read.schema(names).option("sep", sep).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"')
+    reader = spark.read.schema(names).option("sep", sep).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False,
+    ).option("escape", '"')
     if null is not None:
         reader = reader.option("nullValue", null)
     return reader.option("emptyValue", "" if empty is None else empty).csv(path)
@@ -37,7 +39,10 @@ def load_file(spark: SparkSession, path: str, sep: str = ",", has_header: bool =
     return texts.select(*[cell(F.col(f"_{i}"), f.dataType, False).alias(f.name) for i, f in enumerate(schema)])
 
 
-def load_into(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", null: str | None = None, empty: str | None = None, use_defaults: bool = True) -> DataFrame:
+def load_into(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", null: str | None = None,
+    empty: str | None = None, use_defaults: bool = True,
+) -> DataFrame:
     """A file as ``schema``; cells that don't fit are defaults or null. Only the first character of ``sep`` counts."""
     texts = _texts(spark, path, len(schema), sep[:1], null, empty)
     return texts.select(*[cell(F.col(f"_{i}"), f.dataType, use_defaults).alias(f.name) for i, f in enumerate(schema)])

@@ -43,7 +43,9 @@ def cell(text: Column, kind: T.DataType, use_defaults: bool) -> Column:
         return text
     if isinstance(kind, (T.IntegerType, T.LongType)):
         to = "int" if isinstance(kind, T.IntegerType) else "bigint"
-        value = F.when(whole, text.try_cast(to)).when(real, F.floor(F.abs(text.try_cast("double"))).try_cast(to) * F.when(text.startswith("-"), -1).otherwise(1)).try_cast(to)
+        value = F.when(whole, text.try_cast(to)).when(
+            real, F.floor(F.abs(text.try_cast("double"))).try_cast(to) * F.when(text.startswith("-"), -1).otherwise(1),
+        ).try_cast(to)
         zero = F.lit(0).cast(to)
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
         to = "float" if isinstance(kind, T.FloatType) else "double"

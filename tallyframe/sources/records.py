@@ -105,7 +105,9 @@ def integers(col: pa.Array, bits: int) -> tuple[pa.Array, np.ndarray]:
     return pc.if_else(pa.array(fits), nums, pa.scalar(None, pa.int64())), ~fits
 
 
-def parse_batch(lines: pa.Array, schema: T.StructType, checks: dict[str, Check], nulls: tuple[str, ...] = ("", "NA")) -> tuple[pa.Array, pa.Array, dict[str, pa.Array]]:
+def parse_batch(
+    lines: pa.Array, schema: T.StructType, checks: dict[str, Check], nulls: tuple[str, ...] = ("", "NA"),
+) -> tuple[pa.Array, pa.Array, dict[str, pa.Array]]:
     """Per line: the first reason that applies (``quoting``, ``columns``, ``value`` or null), the first failing field, typed fields."""
     ix, width = Index(lines), len(schema)
     reason = np.full(ix.n, None, object)
@@ -144,7 +146,10 @@ def parse_batch(lines: pa.Array, schema: T.StructType, checks: dict[str, Check],
     return pa.array(reason, pa.string()), pa.array(field, pa.string()), typed
 
 
-def parse_records(df: DataFrame, line: str, schema: T.StructType, checks: dict[str, Check] | None = None, keep: list[str] | None = None, values: bool = True) -> DataFrame:
+def parse_records(
+    df: DataFrame, line: str, schema: T.StructType, checks: dict[str, Check] | None = None,
+    keep: list[str] | None = None, values: bool = True,
+) -> DataFrame:
     """``keep`` columns, ``reason`` and ``field`` (null for a valid line) and, with ``values``, the struct ``record``.
 
     ``schema`` may hold int, bigint and string fields. A valid line has all its typed fields in ``record``; a failing

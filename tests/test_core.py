@@ -51,7 +51,10 @@ def test_sql_dialect(m, flights, years):
     assert f.sql("select max(Delay) as hi from @this").df.first().hi == 10.0
     assert m.sql("select id from flights limit 0") == []
     assert len(m.sql("select id from flights", max_rows=2)) == 2
-    got = m.sql2frame("select id, Name from flights join years on (flights.Year = years.Year_num && Year === Year_num) where Name == 'Rat' order by id", names=["a", "b"])
+    got = m.sql2frame(
+        "select id, Name from flights join years on (flights.Year = years.Year_num && Year === Year_num) where Name == 'Rat' order by id",
+        names=["a", "b"],
+    )
     assert [tuple(r) for r in got.df.collect()] == [(1, "Rat"), (2, "Rat")]
     for bad in (
         "select a from b, c",
@@ -113,7 +116,10 @@ def test_aggregates(flights):
     assert {r.Carrier: (r.m, r.COUNT_id) for r in rows} == {"WN": (10.0, 1.0), "AA": (1.0, 2.0)}
     assert A.aggregate_map(flights, "Year, Carrier, sum(Delay)") == {"2008,WN": [10.0], "2009,AA": [5.0], "2010,AA": [-3.0]}
     assert A.aggregate_on_column(flights, "max", "Delay").first()[0] == 10.0
-    for bad in (lambda: A.Grouped(flights, None).agg(["sum(id)"]), lambda: A.group_by(flights, ["Year"], ["median(id)"]), lambda: A.group_by(flights, [], ["sum(id)"])):
+    for bad in (
+        lambda: A.Grouped(flights, None).agg(["sum(id)"]), lambda: A.group_by(flights, ["Year"], ["median(id)"]),
+        lambda: A.group_by(flights, [], ["sum(id)"]),
+    ):
         with pytest.raises(ValueError):
             bad()
 

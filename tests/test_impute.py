@@ -14,7 +14,10 @@ def fields():
     near = lambda other: lambda w: [F.coalesce(F.col("hint"), F.lit(0)), F.when(F.col("hint").isNull(), 1).otherwise(0), w[other]]
     x = M.NumericField("x", F.col("x").between(-1000, 1000), F.col("hint").isNotNull(), near("y"), F.coalesce(F.col("hint"), F.lit(0)), -1000, 1000)
     y = M.NumericField("y", F.col("y").between(-1000, 1000), F.lit(True), near("x"), F.lit(0.0), -1000, 1000)
-    g = M.CategoryField("g", F.when(F.col("g").isin("a", "b", "c"), F.col("g")), F.lit(True), {"k": F.col("k"), "hint": F.col("hint")}, [["k", "hint"], ["k"]], "x", [0.0])
+    g = M.CategoryField(
+        "g", F.when(F.col("g").isin("a", "b", "c"), F.col("g")), F.lit(True), {"k": F.col("k"), "hint": F.col("hint")},
+        [["k", "hint"], ["k"]], "x", [0.0],
+    )
     return [x, y], g
 
 
@@ -29,7 +32,11 @@ def sample(n=1500, seed=1):
         truth[i] = (float(x), float(y), g)
         hide = rng.random()
         rows.append(
-            (i, None if hide < 0.05 else 99999.0 if hide < 0.08 else float(x), None if 0.06 < hide < 0.1 else float(y), rng.choice([None, "?"]) if 0.1 < hide < 0.15 else g, None if 0.2 < hide < 0.22 else hint, "k" + g, "e")
+            (
+                i, None if hide < 0.05 else 99999.0 if hide < 0.08 else float(x),
+                None if 0.06 < hide < 0.1 else float(y), rng.choice([None, "?"]) if 0.1 < hide < 0.15 else g,
+                None if 0.2 < hide < 0.22 else hint, "k" + g, "e",
+            )
         )
     return rows, truth
 

@@ -32,15 +32,26 @@ def test_instants(text, want):
     assert [(k, v) for _, k, v, _ in got] == [(X.INSTANT, want)]
 
 
-@pytest.mark.parametrize("text", [None, "", "NA", "2561", "1299", "25:10 PM", "13:00 PM", "0:10 AM", "24:75", "00/00/0000 00:00", "2009-02-30 10:00", "12345", "2012-13-01T00:00", "2012-01-01 10:00 XYZT", "٣٠", "--:--", "2024:1"])
+@pytest.mark.parametrize(
+    "text",
+    [
+        None, "", "NA", "2561", "1299", "25:10 PM", "13:00 PM", "0:10 AM", "24:75", "00/00/0000 00:00",
+        "2009-02-30 10:00", "12345", "2012-13-01T00:00", "2012-01-01 10:00 XYZT", "٣٠", "--:--", "2024:1",
+    ],
+)
 def test_no_reading(text):
     assert X.readings(text) == []
 
 
 def test_local_readings():
-    assert {(X.FORMATS[f], v // X.DAY + X.EPOCH) for f, _, v, _ in X.readings("03/04/2021 10:00")} == {("slash_dm", datetime(2021, 4, 3).toordinal()), ("slash_md", datetime(2021, 3, 4).toordinal())}
+    assert {(X.FORMATS[f], v // X.DAY + X.EPOCH) for f, _, v, _ in X.readings("03/04/2021 10:00")} == {
+        ("slash_dm", datetime(2021, 4, 3).toordinal()), ("slash_md", datetime(2021, 3, 4).toordinal()),
+    }
     assert len(X.readings("25/04/2021 10:00")) == 1 and len(X.readings("04/04/2021 10:00")) == 1
-    for text, clock in (("5", 5), ("35", 35), ("955", 595), ("2400", 1440), ("1:50a", 110), ("12:05 AM", 5), ("12:05p", 725), ("3:20 PM", 920), ("18:29", 1109), ("24:00", 1440)):
+    for text, clock in (
+        ("5", 5), ("35", 35), ("955", 595), ("2400", 1440), ("1:50a", 110), ("12:05 AM", 5), ("12:05p", 725),
+        ("3:20 PM", 920), ("18:29", 1109), ("24:00", 1440),
+    ):
         assert [(k, v) for _, k, v, _ in X.readings(text)] == [(X.CLOCK, clock * X.MINUTE)], text
     assert X.readings("17-Oct-09 2400")[0][2] == X.readings("2009-10-18 00:00")[0][2]
     assert X.readings("Nov 6, 2022 1:10am")[0][2] == X.readings("20221106 0110")[0][2]

@@ -7,7 +7,10 @@ from pyspark.sql import types as T
 
 from tallyframe.sources import records
 
-SCHEMA = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("s", T.StringType()), T.StructField("b", T.LongType())])
+SCHEMA = T.StructType([
+    T.StructField("a", T.IntegerType()), T.StructField("t", T.IntegerType()), T.StructField("s", T.StringType()),
+    T.StructField("b", T.LongType()),
+])
 CHECKS = {"t": records.hhmm, "s": records.matches(r"^N[A-Z0-9]{2,5}$")}
 
 
@@ -68,9 +71,12 @@ def brute(line):
 
 
 CASES = [
-    None, "", "\r", "1,2,N12,3", "1,2,N12,3\r", '"1","2","N12","3"', '1,2,"N,12",3', '1,2,"N""12",3', '1,2,N"12,3', '1,2,"N12" ,3', '1,2, "N12",3', '1,2,"N12,3', '""1,2,N12,3',
-    "1,2,N12", "1,2,N12,", "1,2,N12,3,", ",,,", "NA,NA,NA,NA", ' 1 ,\t2400, N123 ," 3 "', "1,2401,N12,3", "1,960,N12,3", "+1,0,N12,-9223372036854775808", "1,2,N12,9223372036854775808",
-    "2147483648,2,N12,3", "-2147483648,2,N12,3", "000000000000000000001,2,N12,3", "1_0,2,N12,3", "١,2,N12,3", "1,2,N1,3", "1,2,N123456,3", "1,2,n12,3", "1.0,2,N12,3", '"","","",""', '""",2,N12,3',
+    None, "", "\r", "1,2,N12,3", "1,2,N12,3\r", '"1","2","N12","3"', '1,2,"N,12",3', '1,2,"N""12",3', '1,2,N"12,3',
+    '1,2,"N12" ,3', '1,2, "N12",3', '1,2,"N12,3', '""1,2,N12,3',
+    "1,2,N12", "1,2,N12,", "1,2,N12,3,", ",,,", "NA,NA,NA,NA", ' 1 ,\t2400, N123 ," 3 "', "1,2401,N12,3",
+    "1,960,N12,3", "+1,0,N12,-9223372036854775808", "1,2,N12,9223372036854775808",
+    "2147483648,2,N12,3", "-2147483648,2,N12,3", "000000000000000000001,2,N12,3", "1_0,2,N12,3", "١,2,N12,3",
+    "1,2,N1,3", "1,2,N123456,3", "1,2,n12,3", "1.0,2,N12,3", '"","","",""', '""",2,N12,3',
     "x" * 100_000, "1,2," + '"' + "," * 5000 + '",3', "é,2,N12,3", "1,-5,N12,3",
 ]
 
