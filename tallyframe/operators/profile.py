@@ -7,6 +7,11 @@ are those of text columns; other numeric ones get a sketch of ``REGISTERS`` maxi
 1.04 / sqrt(REGISTERS)). Stage 2 scans only the files of a column that hold a chunk that isn't settled, columns with the same
 such files together. Cells are aggregated by primitive keys in generated code before the shuffle.
 
+Every column has a drift. Columns with a rule are compared by its buckets, texts by value, other numeric columns (whatever the
+number of their values) by buckets between ``EDGES`` + 1 quantiles of the whole table, a value that is a quantile being a
+bucket of its own. The quantiles are those of about ``SAMPLED`` known values per column, by hash of file and row, so they are
+the same in every run; all rows are counted into the buckets.
+
 Defined results: a null load is a load of its own; a load without allowed values has no drift (null); an empty table gives
 no rows; repeated rows count each time.
 """
@@ -18,6 +23,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +35,8 @@ from tallyframe.sources.footers import chunk_statistics
 NARROW = 512
 REGISTERS = 4096
 BATCH = 5
+EDGES = 64
+SAMPLED = 20_000
 
 
 @dataclass
@@ -70,7 +79,7 @@ def _item(no: int, kind: T.DataType, value: Column, rule: Rule | None, narrow: b
     if number is None:
         # Texts are counted by value, so that extrema and distinct values follow; the bucket comes later.
         text = value.cast("string")
-        bucket = (rule.bucket(value) if rule.bucket else text) if rule else text if narrow else F.lit("")
+        bucket = rule.bucket(value) if rule and rule.bucket else text
         return F.struct(*fields, text.alias("text"), F.when(known & ok, bucket).alias("bucket"))
     if rule:
         bucket = F.when(known & ok, (rule.bucket or (lambda v: _number(kind, v)))(value).cast("double"))
@@ -129,9 +138,14 @@ def counts(df: DataFrame, load: str, columns: list[str], rules: dict[str, Rule],
             "__load", "column_name", "is_null", "is_bad", F.col("bucket").cast("string").alias("bucket"), "n",
             "lo_num", "hi_num", null_text.alias("lo_text"), null_text.alias("hi_text"), "kinds",
         ))
-    for texts in [every_text[i : i + BATCH] for i in range(0, len(every_text), BATCH)]:
-        first = long(texts).groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
-        own = first.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("text").alias("lo_text"), F.max("text").alias("hi_text"), F.count("text").alias("kinds"))
+    free, ruled = [c for c in every_text if c not in rules], [c for c in every_text if c in rules]
+    for texts in [x[i : i + BATCH] for x in (free, ruled) for i in range(0, len(x), BATCH)]:
+        if texts[0] in rules:
+            first = long(texts).groupBy(*keys, "text").agg(F.count(F.lit(1)).alias("n"))
+            own = first.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("text").alias("lo_text"), F.max("text").alias("hi_text"), F.count("text").alias("kinds"))
+        else:  # the bucket is the text
+            first = long(texts).groupBy("__load", "column_no", "is_null", "is_bad", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.col("text"))
+            own = first.select(*keys, "n", F.col("text").alias("lo_text"), F.col("text").alias("hi_text"), F.when(F.col("is_null"), 0).otherwise(1).cast("bigint").alias("kinds"))
         parts.append(named(own, texts).select(
             "__load", "column_name", "is_null", "is_bad", "bucket", "n", null_number.alias("lo_num"),
             null_number.alias("hi_num"), "lo_text", "hi_text", "kinds",
@@ -165,6 +179,54 @@ def settled_counts(chunks: DataFrame, schema: T.StructType, columns: list[str],
     )
 
 
+def quantile_splits(df: DataFrame, columns: list[str], known: dict[str, int]) -> dict[str, list[float]]:
+    """Per column of numbers the bounds of its buckets: quantiles of about ``SAMPLED`` of its ``known`` values, infinite ends
+    added. A quantile starts a bucket that ends right above it. Columns without known values have none."""
+    columns = [c for c in columns if known[c]]
+    if not columns:
+        return {}
+    kinds = {f.name: f.dataType for f in df.schema}
+    h = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    cells = [F.when(F.pmod(h, F.lit(max(1, known[c] // SAMPLED))) == 0, _number(kinds[c], F.col(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]
+    steps_ = [i / EDGES for i in range(EDGES + 1)]
+    got = df.select(*cells).agg(*[F.percentile(f"v{i}", steps_).alias(f"q{i}") for i in range(len(columns))]).first()
+    out = {}
+    for c, quantiles in zip(columns, got):
+        edges = [q for q in quantiles or [] if np.isfinite(q)]
+        bounds = {-np.inf, np.inf, *edges, *np.nextafter(edges, np.inf).tolist()}
+        out[c] = sorted(float(b) for b in bounds) if edges else [-np.inf, 0.0, np.inf]
+    return out
+
+
+def shares(df: DataFrame, load: str, splits: dict[str, list[float]]) -> DataFrame:
+    """(load, column, bucket, n): known values per bucket, from scans of a few columns each."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    tag = F.col(f"`{load}`").cast("string").alias("__load")
+    every, parts = list(splits), []
+    for cols in [every[i : i + BATCH] for i in range(0, len(every), BATCH)]:
+        at = range(len(cols))
+        cut = Bucketizer(splitsArray=[splits[c] for c in cols], inputCols=[f"v{i}" for i in at], outputCols=[f"b{i}" for i in at], handleInvalid="keep")
+        rows = cut.transform(df.select(tag, *[_number(kinds[c], F.col(f"`{c}`")).alias(f"v{i}") for i, c in enumerate(cols)]))
+        cells = F.array(*[F.struct(F.lit(i).alias("column_no"), F.col(f"b{i}").alias("bucket")) for i in at])
+        long = rows.select("__load", F.explode(cells).alias("x")).select("__load", "x.*").where("bucket is not null")
+        names = F.array(*[F.lit(c) for c in cols])
+        counted = long.groupBy("__load", "column_no", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counted.select("__load", F.element_at(names, F.col("column_no") + 1).alias("column_name"), F.col("bucket").cast("int").cast("string").alias("bucket"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def settled_shares(chunks: DataFrame, schema: T.StructType, splits: dict[str, list[float]]) -> DataFrame:
+    """The rows of ``shares`` that follow from chunk statistics alone."""
+    bounds = chunks.sparkSession.createDataFrame(list(splits.items()), "column_name string, bounds array<double>")
+    number = F.coalesce(*[F.when(F.col("column_name") == c, _number(schema[c].dataType, F.col("lo").try_cast(schema[c].dataType))) for c in splits])
+    n = F.col("n_rows") - F.col("n_null")
+    rows = chunks.where(n > 0).select(F.col("load_lo").alias("__load"), "column_name", number.alias("v"), n.alias("n")).join(F.broadcast(bounds), "column_name")
+    # The place among the bounds as Bucketizer counts it: infinity falls into the last bucket, what is no number after it.
+    last = F.size("bounds") - 2
+    place = F.when(F.isnan("v"), last + 1).otherwise(F.least(last, F.size(F.filter("bounds", lambda b: b <= F.col("v"))) - 1))
+    return rows.select("__load", "column_name", place.cast("string").alias("bucket"), "n")
+
+
 def settled(c: DataFrame) -> Column:
     """A chunk of one load that is all null or constant, by statistics that are exact."""
     pure = F.col("load_lo").isNotNull() & (F.col("load_lo") == F.col("load_hi")) & (F.col("load_nulls") == 0)
@@ -175,7 +237,8 @@ def profile(spark: SparkSession, path: str, load: str, rules: dict[str, Rule] |
     """One row per load and column: rows, nulls, distinct count (and whether it is exact), range, disallowed, drift.
 
     ``drift`` is half the sum of absolute differences between a load's shares of allowed values (or of their buckets) and
-    the shares of all loads together; columns without a rule have one only if they are narrow. Range: numbers (dates and
+    the shares of all loads together. Without a rule every value is allowed; texts are compared by value, numbers by the
+    buckets of ``quantile_splits``. Range: numbers (dates and
     timestamps as days and microseconds) in ``min_num``, ``max_num``, texts in ``min_text``, ``max_text``.
     """
     rules = rules or {}
@@ -202,46 +265,69 @@ def profile(spark: SparkSession, path: str, load: str, rules: dict[str, Rule] |
         lists = state.where(~F.col("done") & F.col("column_name").isin(some)).groupBy("column_name").agg(F.sort_array(F.collect_list("file")).alias("files"))
         for r in lists.collect():
             groups[tuple(r.files)].append(r.column_name)
-    parts = []
+    texts = {c for c in columns if _number(df.schema[c].dataType, F.col(f"`{c}`")) is None}
+    free_numbers = [c for c in columns if c not in texts and c not in rules]
+    splits = quantile_splits(df, free_numbers, known_values(df, chunks, free_numbers)) if free_numbers else {}
+    parts, tallies = [], []
     for names, cols in groups.items():
         if cols:
             source = df if len(names) == len(files) else spark.read.schema(df.schema).parquet(*names)
             parts.append(counts(source, load, cols, rules, narrow, distinct))
+            if any(c in splits for c in cols):
+                tallies.append(shares(source, load, {c: splits[c] for c in cols if c in splits}))
     if any(open_files.get(c, 0) < len(files) for c in columns):
         free = chunks.join(state.where("done").select("file", "column_name"), ["file", "column_name"], "left_semi")
         parts.append(settled_counts(free, df.schema, columns, rules, narrow))
+        if splits:
+            tallies.append(settled_shares(free, df.schema, splits))
     if not parts:
         return spark.createDataFrame([], _result_schema(df.schema[load].dataType))
     cells = parts[0]
     for p in parts[1:]:
         cells = cells.unionByName(p)
-    texts = {c for c in columns if _number(df.schema[c].dataType, F.col(f"`{c}`")) is None}
-    return summarise(cells, df.schema[load].dataType, rules, narrow, texts)
+    tally = reduce(DataFrame.unionByName, tallies) if tallies else None
+    return summarise(cells, tally, df.schema[load].dataType, rules, narrow, texts)
+
+
+def known_values(df: DataFrame, chunks: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Values of each column that aren't null, from footers where all of them tell."""
+    told = chunks.where(F.col("column_name").isin(columns)).groupBy("column_name").agg(
+        F.when(F.count("n_null") == F.count(F.lit(1)), F.sum(F.col("n_rows") - F.col("n_null"))).alias("n"),
+    )
+    got = {r.column_name: r.n for r in told.collect() if r.n is not None}
+    rest = [c for c in columns if c not in got]
+    if rest:
+        got |= dict(zip(rest, df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(rest)]).first()))
+    return got
 
 
 def _result_schema(kind: T.DataType) -> str:
     return f"load_id {kind.simpleString()}, column_name string, n_rows bigint, n_null bigint, null_share double, n_distinct bigint, distinct_exact boolean, min_num double, max_num double, min_text string, max_text string, n_disallowed bigint, disallowed_share double, drift double"
 
 
-def summarise(cells: DataFrame, kind: T.DataType, rules: dict[str, Rule], narrow: set[str], texts: set[str]) -> DataFrame:
+def summarise(cells: DataFrame, tally: DataFrame | None, kind: T.DataType, rules: dict[str, Rule], narrow: set[str], texts: set[str]) -> DataFrame:
+    """``tally`` holds the buckets (see ``shares``) of columns whose cells aren't by bucket of their drift."""
     keys = ["__load", "column_name", "is_null", "is_bad", "bucket"]
     exact = sorted({c for c in narrow if c not in rules} | texts)
     one = cells.groupBy(*keys).agg(
         F.sum("n").alias("n"), F.min("lo_num").alias("lo_num"), F.max("hi_num").alias("hi_num"),
         F.min("lo_text").alias("lo_text"), F.max("hi_text").alias("hi_text"), F.max("kinds").alias("kinds"),
     )
-    one = written(one, "cells")  # loads x buckets rows; read three times below
-    ok = ~F.col("is_null") & ~F.col("is_bad") & F.col("bucket").isNotNull()
-    shared_by_value = list(rules) + [c for c in exact if c in narrow]
-    ruled = F.col("column_name").isin(shared_by_value) if shared_by_value else F.lit(False)
-    n = F.when(ok, F.col("n")).otherwise(0)
-    own = F.try_divide(n, F.sum(n).over(Window.partitionBy("__load", "column_name")))
-    every = F.try_divide(F.sum(n).over(Window.partitionBy("column_name", "is_null", "is_bad", "bucket")), F.col("all_n"))
-    totals = one.groupBy("column_name").agg(F.sum(n).alias("all_n"))
-    shared = one.join(totals, "column_name").withColumn("own", own).withColumn("every", every)
+    one = written(one, "cells")  # loads x buckets rows; read several times below
+    by_bucket = sorted({*rules, *texts})
+    ok = ~F.col("is_null") & ~F.col("is_bad") & F.col("bucket").isNotNull() & (F.col("column_name").isin(by_bucket) if by_bucket else F.lit(False))
+    tallied = one.where(ok).select("__load", "column_name", "bucket", "n")
+    if tally is not None:
+        tallied = tallied.unionByName(written(tally.groupBy("__load", "column_name", "bucket").agg(F.sum("n").alias("n")), "tally"))
+    per_load = tallied.groupBy(F.col("__load").alias("__l"), F.col("column_name").alias("__c")).agg(F.sum("n").alias("own_n"))
+    totals = tallied.groupBy("column_name").agg(F.sum("n").alias("all_n"))
+    every = F.sum("n").over(Window.partitionBy("column_name", "bucket")) / F.col("all_n")
+    same = F.col("__load").eqNullSafe(F.col("__l")) & (F.col("column_name") == F.col("__c"))
+    shared = tallied.join(totals, "column_name").withColumn("every", every).join(per_load, same)
     # Shares that a load lacks add the share of all loads, so the sum over the load's own buckets is enough.
-    gap = F.when(ok & ruled, F.abs(F.col("own") - F.col("every")) - F.col("every"))
-    out = shared.groupBy("__load", "column_name").agg(
+    gaps = shared.select("__load", "column_name", (F.abs(F.col("n") / F.col("own_n") - F.col("every")) - F.col("every")).alias("gap"))
+    gaps = gaps.groupBy("__load", "column_name").agg(F.sum("gap").alias("gap"))
+    out = one.unionByName(gaps, allowMissingColumns=True).groupBy("__load", "column_name").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(F.col("is_null"), F.col("n")).otherwise(0)).alias("n_null"),
         F.sum("kinds").alias("n_distinct"),
@@ -250,7 +336,7 @@ def summarise(cells: DataFrame, kind: T.DataType, rules: dict[str, Rule], narrow
         F.min("lo_text").alias("min_text"),
         F.max("hi_text").alias("max_text"),
         F.sum(F.when(F.col("is_bad"), F.col("n")).otherwise(0)).alias("n_disallowed"),
-        (0.5 * (1 + F.sum(gap))).alias("drift"),
+        (0.5 * (1 + F.sum("gap"))).alias("drift"),
     )
     return out.select(
         F.col("__load").cast(kind).alias("load_id"),

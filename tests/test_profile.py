@@ -92,3 +92,20 @@ def test_footer_profile(spark, data):
 def test_empty_table(spark, tmp_path):
     make(f"{tmp_path}/e.parquet", [], 10)
     assert profile.profile(spark, str(tmp_path), "load_id", RULES).count() == 0
+
+
+def test_drift_of_wide_columns(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(ld, rng.randint(-60, 5000) + 2000 * (ld == 3), f"x{rng.randint(0, 3000) + 2000 * (ld == 3)}", 5, i) for ld in (1, 2, 3, None) for i in range(3000)]
+    make(f"{tmp_path}/w.parquet", rows, 1500)
+    few = [(r[0], r[1] // 20, r[2], r[3], r[4]) for r in rows]
+    make(f"{tmp_path}/few.parquet", few, 1500)
+    out = {(r.load_id, r.column_name): r.drift for r in profile.profile(spark, f"{tmp_path}/w.parquet", "load_id").collect()}
+    assert all(d is not None for d in out.values())
+    everything, own = Counter(r[2] for r in rows), Counter(r[2] for r in rows if r[0] == 3)
+    assert out[3, "code"] == pytest.approx(sum(abs(own[b] / 3000 - n / 12000) for b, n in everything.items()) / 2)
+    assert out[3, "v"] == pytest.approx(0.75 * 2000 / 5061, abs=0.06) and out[1, "v"] < 0.15
+    assert out[1, "flag"] == 0 and max(out[ld, "wide"] for ld in (1, 2, 3, None)) < 0.01
+    # A column with fewer than NARROW values is measured alike.
+    narrow = {(r.load_id, r.column_name): r.drift for r in profile.profile(spark, f"{tmp_path}/few.parquet", "load_id").collect()}
+    assert narrow[3, "v"] == pytest.approx(out[3, "v"], abs=0.06)
