@@ -10,9 +10,10 @@ posterior; later rounds count as toxic only the maximal segments that score at l
 judged toxic, so the ordinary words around an insult become evidence against. Then documents without votes join in: a spread
 round counts whole documents again, those with a segment of at least ``sure_score`` as toxic, so that wordings no vote covers
 are learnt from the company they keep, and a last round returns to segments. Documents fall into ``folds`` folds and each
-fold's segments are found with a model of the others, so a wrong vote doesn't confirm itself. At most ``max_fitted`` documents
-are fitted on, by hash of their identifier, those with votes first; counting is distributed, and the model holds at most
-``max_features`` n-grams, which is the size that is sent to every task.
+fold's segments are found with a model of the others, so a wrong vote doesn't confirm itself. Votes of at most ``max_fitted``
+documents are used, by hash of their identifier; all other documents join in without votes, whatever their number. Counting
+and scoring of n-grams are distributed, and the model holds at most ``max_features`` n-grams, which is the size that is
+collected and sent to every task.
 
 Search. Every document, whole, is scanned once in linear time for all maximal scoring segments. The best segment of m tokens
 of ordinary text follows an extreme-value law, P(S > s) = 1 - exp(-K m exp(-lambda s)). lambda is the maximum-likelihood rate
@@ -121,25 +122,23 @@ def vote_posterior(prior: float, error: float):
 
 
 def fitting_documents(docs: DataFrame, labels: DataFrame, ident: str, text: str, s: Settings) -> DataFrame:
-    """(fold, text, y): at most about ``max_fitted`` documents, y being null where there is no vote."""
+    """(fold, text, y): all documents, y being null where there is no vote or, beyond about ``max_fitted``, none is used."""
     votes = labels.where(F.col("label").isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__id")).agg(
         F.sum("label").alias("ones"), F.count(F.lit(1)).alias("votes"),
     )
     got = votes.agg(F.count(F.lit(1)).alias("docs"), F.sum("ones").alias("ones"), F.sum("votes").alias("votes")).first()
     share = (got.ones or 0) / max(1, got.votes or 0)
     prior = min(0.5, max(0.005, (share - s.rater_error) / (1 - 2 * s.rater_error)))
-    total = docs.count()
     known = min(1.0, s.max_fitted / max(1, got.docs))
-    others = min(1.0, max(0, s.max_fitted - got.docs) / max(1, total - got.docs))
     million = F.lit(1_000_000)
     u = F.pmod(F.xxhash64("__id", F.lit(1)), million)
     picked = votes.where(u < int(known * 1_000_000))
     rows = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    joined = rows.join(picked, "__id", "left").where(F.col("votes").isNotNull() | (F.coalesce(u, F.lit(0)) < int(others * 1_000_000)))
+    joined = rows.join(picked, "__id", "left")
     fold = F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(s.folds)).cast("int")
     fitted = joined.select(fold.alias("fold"), "text", F.when(F.col("votes").isNotNull(), vote_posterior(prior, s.rater_error)).alias("y"))
-    # A bounded number of documents, scanned once a round: spread over all cores.
-    return written(fitted.repartition(docs.sparkSession.sparkContext.defaultParallelism), "fitted")
+    # Scanned once a round: spread over all cores.
+    return written(fitted.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())), "fitted")
 
 
 VOTES, SEGMENTS, SPREAD, ALL_SEGMENTS = range(4)
@@ -204,60 +203,79 @@ def count_grams(fitted: DataFrame, step: int, models: dict[int, dict[str, float]
                 c = counts[(fold, "")]
                 c[0] += sum(weight)
                 c[1] += len(weight)
-            if len(counts) > FLUSH:
-                yield out()
+                if len(counts) > FLUSH:
+                    yield out()
         yield out()
 
+    if step in (VOTES, SEGMENTS):
+        fitted = fitted.where("y is not null")
     rows = fitted.mapInArrow(run, "fold int, gram string, toxic double, seen double")
     return rows.groupBy("fold", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
 
 
-def gram_scores(grams: list[str], order: np.ndarray, suffix: np.ndarray, toxic: np.ndarray, seen: np.ndarray, s: Settings) -> dict[str, float]:
-    """Log-odds of n-grams against the overall or the reference odds; only those that differ from what their suffix says.
+def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, dict[str, float]], dict[str, float]]:
+    """For each fold the model of the others, and that of all: log-odds of n-grams against the overall or the reference odds.
 
-    ``order`` counts the blanks in a gram (-1 for the empty one, which holds the totals), ``suffix`` is the place of the
-    gram without its first word, or -1.
+    Only n-grams that differ from what their suffix says are collected, of each model those of most weight up to
+    ``max_features``. Model number ``folds`` is that of all.
     """
-    total = np.flatnonzero(order < 0)
-    if not len(total) or toxic[total[0]] <= 0 or toxic[total[0]] >= seen[total[0]]:
-        return {}
-    base = toxic[total[0]] / seen[total[0]]
-    high = max(base, s.reference)
-    level = math.log(high / (1 - high))
-    p, centre = np.full(len(grams), np.nan), np.full(len(grams), base)
-    for n in range(ORDERS):
-        at = np.flatnonzero((order == n) & (seen >= 2))
-        if n:
-            known = at[suffix[at] >= 0]
-            known = known[~np.isnan(p[suffix[known]])]
-            centre[known] = p[suffix[known]]
-        p[at] = (toxic[at] + PRIOR_WEIGHT[n] * centre[at]) / (seen[at] + PRIOR_WEIGHT[n])
-    at = np.flatnonzero(~np.isnan(p))
-    score, told = np.log(p[at] / (1 - p[at])) - level, np.log(centre[at] / (1 - centre[at])) - level
-    news = np.abs(score - told)
-    keep = news > 0.1
-    if keep.sum() > s.max_features:
-        weight = np.where(keep, news * np.log1p(seen[at]), 0.0)
-        keep &= weight >= np.partition(weight, len(weight) - s.max_features)[len(weight) - s.max_features]
-    return {grams[i]: float(v) for i, v in zip(at[keep], score[keep])}
-
-
-def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, dict[str, float]], dict[str, float]]:
-    """For each fold the model of the others, and that of all. What is collected is bounded by ``max_fitted`` documents."""
     of = lambda f, c: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0))
+    every = range(s.folds + 1)
     wide = counted.groupBy("gram").agg(
-        F.sum("toxic").alias("t"), F.sum("seen").alias("n"),
-        *[of(f, c).alias(f"{c}{f}") for f in range(s.folds) for c in ("toxic", "seen")],
+        F.sum("toxic").alias(f"t{s.folds}"), F.sum("seen").alias(f"n{s.folds}"),
+        *[F.greatest(F.sum("toxic") - of(f, "toxic"), F.lit(0.0)).alias(f"t{f}") for f in range(s.folds)],
+        *[(F.sum("seen") - of(f, "seen")).alias(f"n{f}") for f in range(s.folds)],
     )
-    got = wide.where(F.col("n") >= 2).toArrow()
-    grams = got.column("gram").to_pylist()
-    place = {g: i for i, g in enumerate(grams)}
-    order = np.array([g.count(" ") if g else -1 for g in grams], np.int8)
-    suffix = np.array([place.get(g.split(" ", 1)[1], -1) if n > 0 else -1 for g, n in zip(grams, order.tolist())], np.int64)
-    column = lambda c: got.column(c).to_numpy()
-    t, n = column("t"), column("n")
-    models = {f: gram_scores(grams, order, suffix, np.maximum(t - column(f"toxic{f}"), 0.0), n - column(f"seen{f}"), s) for f in range(s.folds)}
-    return models, gram_scores(grams, order, suffix, t, n, s)
+    order = F.length("gram") - F.length(F.replace(F.col("gram"), F.lit(" "), F.lit("")))
+    wide = written(wide.where(F.col(f"n{s.folds}") >= 2).withColumn("order", F.when(F.col("gram") == "", -1).otherwise(order)), "grams")
+    total = wide.where("gram = ''").first()
+    base = {k: total[f"t{k}"] / total[f"n{k}"] for k in every if total and 0 < total[f"t{k}"] < total[f"n{k}"]}
+    models: dict[int, dict[str, float]] = {k: {} for k in every}
+    if base:
+        # Single words, then pairs centred on words, then triples centred on pairs.
+        known, parts = None, []
+        for n in range(ORDERS):
+            rows = wide.where(F.col("order") == n)
+            if known is not None:
+                shorter = known.select(F.col("gram").alias("suffix"), *[F.col(f"p{k}").alias(f"c{k}") for k in base])
+                rows = rows.withColumn("suffix", F.substring_index("gram", " ", -n)).join(shorter, "suffix", "left")
+            centre = {k: F.lit(base[k]) if known is None else F.coalesce(F.col(f"c{k}"), F.lit(base[k])) for k in base}
+            p = {k: (F.col(f"t{k}") + PRIOR_WEIGHT[n] * centre[k]) / (F.col(f"n{k}") + PRIOR_WEIGHT[n]) for k in base}
+            p = [F.when(F.col(f"n{k}") >= 2, p[k]).alias(f"p{k}") for k in base]
+            known = written(rows.select("gram", *p, *[centre[k].alias(f"c{k}") for k in base], *[f"n{k}" for k in base]), f"grams{n}")
+            parts.append(known)
+        cells = parts[0]
+        for x in parts[1:]:
+            cells = cells.unionByName(x)
+        odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
+        news = {k: F.abs(odds(f"p{k}") - odds(f"c{k}")) for k in base}
+        weight = {k: F.when(news[k] > 0.1, F.floor(1000 * news[k] * F.log1p(f"n{k}")).cast("int")) for k in base}
+        cells = cells.select("gram", *[odds(f"p{k}").alias(f"s{k}") for k in base], *[weight[k].alias(f"w{k}") for k in base])
+        long = cells.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("w")) for k in base])).alias("x")).select("x.*")
+        tops: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for r in long.where("w is not null").groupBy("k", "w").agg(F.count(F.lit(1)).alias("n")).collect():
+            tops[r.k].append((r.w, r.n))
+        least = {k: least_weight(tops[k], s.max_features) for k in base}
+        hit = {k: F.when(F.col(f"w{k}") >= least[k], F.col(f"s{k}")) for k in base}
+        got = cells.select("gram", *[hit[k].alias(f"s{k}") for k in base]).where(F.coalesce(*[F.col(f"s{k}") for k in base]).isNotNull()).toArrow()
+        grams = got.column("gram").to_pylist()
+        for k in base:
+            high = max(base[k], s.reference)
+            level = math.log(high / (1 - high))
+            column = got.column(f"s{k}").to_numpy()
+            models[k] = {grams[i]: float(column[i]) - level for i in np.flatnonzero(~np.isnan(column))}
+    return models, models.pop(s.folds)
+
+
+def least_weight(counts: list[tuple[int, int]], most: int) -> int:
+    """The least weight from which at most ``most`` lie above or at it, of (weight, number)."""
+    least, above = 1 << 30, 0
+    for w, n in sorted(counts, reverse=True):
+        above += n
+        if above > most:
+            break
+        least = w
+    return least
 
 
 def truncated_rate(scores: np.ndarray, counts: np.ndarray, top: float) -> float:

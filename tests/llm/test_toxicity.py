@@ -110,3 +110,23 @@ def test_no_votes(spark):
     assert X.score_documents(df.where("false"), X.fit(df, none)).count() == 0
     with pytest.raises(ValueError):
         X.score_documents(df.withColumnRenamed("doc_id", "score"), X.Model({}, 0.5), ident="score")
+
+
+def test_unvoted_documents_all_join_in(spark):
+    docs, _, labels = corpus(600, 3)
+    voted = {i for i, _, _ in labels}
+    n = 200
+    docs += [(10_000 + i, f"{PLAIN[i % 6]} Shut up you stupid moron. You grobian.", "s") for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, rater string, label int")
+    s = X.Settings(max_fitted=len(voted))  # leaves no room beside the documents with votes
+    fitted = X.fitting_documents(df, lab, "doc_id", "text", s)
+    assert fitted.where("y is null").count() == len(docs) - len(voted)
+    assert X.fit(df, lab, settings=s).scores.get("grobian", 0) > 1
+    few = X.fitting_documents(df, lab, "doc_id", "text", X.Settings(max_fitted=50))
+    assert few.count() == len(docs) and few.where("y is not null").count() < 100
+
+
+def test_least_weight():
+    assert X.least_weight([(5, 2), (9, 1), (7, 3)], 4) == 7
+    assert X.least_weight([(5, 2), (9, 1)], 3) == 5 and X.least_weight([(5, 4)], 3) > 5
