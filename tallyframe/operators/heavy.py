@@ -3,18 +3,21 @@
 1. Each task runs a Misra-Gries sketch over dictionary-coded Arrow batches and emits its surviving counters; added up they
    undercount a key by at most rows / (capacity + 1), so every key at the threshold is among the candidates, and there
    are at most 1 / (threshold - 1 / (capacity + 1)) candidates, whatever the size of the data.
-2. Candidates are counted exactly in one pass against a broadcast list of that proven size.
-3. Rows of heavy keys are joined to the broadcast list and aggregated over salted keys, other rows go by an ordinary
-   shuffle, and the two results are united.
+2. Rows of candidates are joined to the broadcast list of that proven size, which also gives each of them its number of
+   salts (one per ``SALT_ROWS`` rows), and are processed per key and salt before a small final step per key.
+3. All other rows go by an ordinary shuffle, and the two results are united.
 
-Null keys: a null is no heavy key; its rows go the ordinary way, their partial aggregates being one row a task. Ties,
-repeated rows and empty tables need no special case (an empty table has no heavy key).
+``per_key`` does this for aggregates that merge by sum, min or max; ``distinct_per_key`` for distinct counts, salting by the
+value counted; ``apply_per_key`` for user code of two steps. ``heavy_keys`` are the rows of the first at the threshold.
+
+Null keys: a null is no heavy key; its rows go the ordinary way (spread by salts in ``apply_per_key``), their partial
+aggregates being one row a task. Ties, repeated rows and empty tables need no special case (an empty table has no heavy key).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -22,7 +25,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+SALT_ROWS = 1_000_000
+LEAST_SALTS, MOST_SALTS = 16, 100_000
+MERGES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def shrink(counts: dict[str, int], capacity: int) -> dict[str, int]:
@@ -58,8 +64,8 @@ def sketch(df: DataFrame, columns: list[str], capacity: int) -> DataFrame:
     return source.mapInArrow(run, "key_column string, key_value string, n bigint")
 
 
-def candidates(df: DataFrame, columns: list[str], threshold: float, capacity: int | None = None) -> tuple[list[tuple[str, str]], int]:
-    """All (column, key) that may hold ``threshold`` of the rows, and the number of rows."""
+def candidates(df: DataFrame, columns: list[str], threshold: float, capacity: int | None = None) -> tuple[dict[tuple[str, str], int], int]:
+    """All (column, key) that may hold ``threshold`` of the rows, with counts too low by at most rows / (capacity + 1); and the number of rows."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies in (0, 1]")
     capacity = capacity or int(np.ceil(4 / threshold))
@@ -70,49 +76,107 @@ def candidates(df: DataFrame, columns: list[str], threshold: float, capacity: in
     most = len(columns) * int(np.ceil(1 / least)) + 1  # no more keys can reach the least count, so the top holds them all
     tops = merged.orderBy(F.col("key_column").isNull().desc(), F.col("n").desc()).limit(most).collect()
     total = next((r.n for r in tops if r.key_column is None), 0)
-    return sorted((r.key_column, r.key_value) for r in tops if r.key_column is not None and r.n >= total * least), total
+    return {(r.key_column, r.key_value): r.n for r in sorted(tops, key=str) if r.key_column is not None and r.n >= total * least}, total
+
+
+def split_rows(df: DataFrame, column: str, found: dict[tuple[str, str], int]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of light keys, and those of heavy keys with ``__salts`` from the broadcast list; both with the key as text in ``__key``."""
+    mine = {k: n for (c, k), n in found.items() if c == column}
+    tagged = df.withColumn("__key", F.col(f"`{column}`").cast("string"))
+    if not mine:
+        return tagged, None
+    rows = [(k, min(MOST_SALTS, max(LEAST_SALTS, -(-2 * n // SALT_ROWS)))) for k, n in mine.items()]
+    hot = F.broadcast(df.sparkSession.createDataFrame(rows, "__hot string, __salts int"))  # at most 1/threshold rows or so
+    heavy = tagged.join(hot, F.col("__key") == F.col("__hot")).drop("__hot")
+    light = tagged.join(hot.select("__hot"), F.col("__key") == F.col("__hot"), "left_anti")
+    return light, heavy
+
+
+def per_key(
+    df: DataFrame, column: str, parts: dict[str, tuple[Column, str]], finals: dict[str, Column], threshold: float = 0.05,
+    found: dict[tuple[str, str], int] | None = None,
+) -> DataFrame:
+    """One row per value of ``column`` with ``finals`` computed from the mergeable ``parts``.
+
+    ``parts``: name to an aggregate over rows and how partial results merge: ``"sum"`` (for counts too), ``"min"`` or
+    ``"max"``. ``finals`` are expressions over the merged parts. Heavy keys: broadcast join, salted first aggregation, then
+    one small final one. ``found``: candidates of an earlier sketch.
+    """
+    for name, part in parts.items():
+        if not (isinstance(part, tuple) and len(part) == 2 and part[1] in MERGES):
+            raise ValueError(f"part {name!r} is an aggregate and one of {sorted(MERGES)}")
+    if found is None:
+        found, _ = candidates(df, [column], threshold)
+    light, heavy = split_rows(df, column, found)
+    aggs = [e.alias(n) for n, (e, _) in parts.items()]
+    out = light.groupBy(F.col("__key").alias("key_value")).agg(*aggs)
+    if heavy is not None:
+        salt = F.pmod(F.monotonically_increasing_id(), F.col("__salts"))
+        first = heavy.groupBy(F.col("__key").alias("key_value"), salt.alias("__salt")).agg(*aggs)
+        out = out.unionByName(first.groupBy("key_value").agg(*[MERGES[how](n).alias(n) for n, (_, how) in parts.items()]))
+    return out.select(F.lit(column).alias("key_column"), "key_value", *[e.alias(n) for n, e in finals.items()])
 
 
 def heavy_keys(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:
     """(key_column, key_value, n, share): exactly the non-null keys that hold at least ``threshold`` of all rows."""
-    spark = df.sparkSession
     found, total = candidates(df, columns, threshold)
-    if not found:
-        return spark.createDataFrame([], "key_column string, key_value string, n bigint, share double")
-    pairs = []
-    for c in columns:
-        names = [k for col, k in found if col == c]
-        if names:
-            key = F.col(f"`{c}`").cast("string")
-            pairs.append(F.when(key.isin(names), F.struct(F.lit(c).alias("key_column"), key.alias("key_value"))))
-    counted = df.select(F.explode(F.array(*pairs)).alias("x")).where("x is not null").groupBy("x.key_column", "x.key_value").agg(F.count(F.lit(1)).alias("n"))
     least = math.ceil(Fraction(str(threshold)) * total)  # exact where a share falls right on the threshold
-    return counted.where(F.col("n") >= least).select("key_column", "key_value", "n", (F.col("n") / F.lit(total)).alias("share"))
+    rows = {"n": (F.count(F.lit(1)), "sum")}
+    out = None
+    for c in columns:
+        one = per_key(df.select(F.col(f"`{c}`")), c, rows, {"n": F.col("n")}, threshold, found)
+        out = one if out is None else out.unionByName(one)
+    return out.where(F.col("key_value").isNotNull() & (F.col("n") >= least)).withColumn("share", F.col("n") / F.lit(total))
 
 
-def per_key(df: DataFrame, column: str, parts: dict[str, Column], finals: dict[str, Column], threshold: float = 0.05, salts: int = 64) -> DataFrame:
-    """One row per value of ``column`` with ``finals`` computed from the mergeable ``parts``.
+def distinct_per_key(df: DataFrame, column: str, values: list[str], threshold: float = 0.05) -> DataFrame:
+    """(key_column, key_value, n_<value>...): exact distinct non-null values per key.
 
-    ``parts`` are aggregates over rows; each is merged by sum, or by min or max if its name starts so. ``finals`` are
-    expressions over the merged parts. Heavy keys: broadcast join, salted first aggregation, then one small final one.
+    Distinct counts don't merge, so heavy keys' rows are salted by the value itself: equal values of a key meet in one salt,
+    are made one row there, and the salts' counts add up.
     """
-    spark = df.sparkSession
-    found, _ = candidates(df, [column], threshold)
-    names = [k for _, k in found]
-    key = F.col(f"`{column}`").cast("string")
-
-    def merged(partial: DataFrame) -> DataFrame:
-        how = {n: F.min if n.startswith("min") else F.max if n.startswith("max") else F.sum for n in parts}
-        return partial.groupBy("key_value").agg(*[how[n](n).alias(n) for n in parts])
-
-    tagged = df.withColumn("__key", key)
-    aggs = [e.alias(n) for n, e in parts.items()]
-    light = tagged.where(F.col("__key").isNull() | ~F.col("__key").isin(names)) if names else tagged
-    out = light.groupBy(F.col("__key").alias("key_value")).agg(*aggs)
-    if names:
-        hot = spark.createDataFrame([(n,) for n in names], T.StructType([T.StructField("__hot", T.StringType())]))  # at most 1/threshold rows or so
-        heavy = tagged.join(F.broadcast(hot), F.col("__key") == F.col("__hot"))
-        salt = F.pmod(F.monotonically_increasing_id(), F.lit(salts))
-        first = heavy.groupBy(F.col("__key").alias("key_value"), salt.alias("__salt")).agg(*aggs)
-        out = out.unionByName(merged(first))
-    return out.select(F.lit(column).alias("key_column"), "key_value", *[e.alias(n) for n, e in finals.items()])
+    found, _ = candidates(df.select(F.col(f"`{column}`")), [column], threshold)
+    light, heavy = split_rows(df.select(F.col(f"`{column}`"), *[F.col(f"`{v}`") for v in values]), column, found)
+    names = [f"n_{v}" for v in values]
+    out = light.groupBy(F.col("__key").alias("key_value")).agg(*[F.count_distinct(F.col(f"`{v}`")).alias(n) for v, n in zip(values, names)])
+    if heavy is not None:
+        cells = F.array(*[F.struct(F.lit(i).alias("no"), F.xxhash64(F.col(f"`{v}`")).alias("h"), F.col(f"`{v}`").cast("string").alias("v")) for i, v in enumerate(values)])
+        long = heavy.select("__key", "__salts", F.explode(cells).alias("x")).select("__key", "x.no", "x.v", F.pmod("x.h", F.col("__salts")).alias("salt"))
+        once = long.groupBy("__key", "no", "salt", "v").agg(F.lit(1).alias("one"))
+        per_salt = once.groupBy("__key", "salt").agg(*[F.count(F.when(F.col("no") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+        out = out.unionByName(per_salt.groupBy(F.col("__key").alias("key_value")).agg(*[F.sum(n).alias(n) for n in names]))
+    return out.select(F.lit(column).alias("key_column"), "key_value", *names)
+
+
+def apply_per_key(
+    df: DataFrame, column: str, piece: Callable[[pa.Table], pa.Table], piece_schema: str,
+    merge: Callable[[pa.Table], pa.Table], schema: str, threshold: float = 0.05,
+) -> DataFrame:
+    """(key_value, columns of ``schema``): user code per key, in two steps so that no task holds a heavy key's rows.
+
+    ``piece`` turns some rows of one key into a smaller table (``piece_schema``); ``merge`` turns all pieces of a key into its
+    result. Heavy keys: a piece per salt, about ``SALT_ROWS`` rows each, then one merge. Null keys go the same way with
+    salts of their own. Light keys: one shuffle by key, one piece, merged at once.
+    """
+    found, total = candidates(df.select(F.col(f"`{column}`")), [column], threshold)
+    light, heavy = split_rows(df, column, found)
+    null_salts = min(MOST_SALTS, max(LEAST_SALTS, total // SALT_ROWS))
+    nulls = light.where("__key is null").withColumn("__salts", F.lit(null_salts).cast("int"))
+    spread = nulls if heavy is None else heavy.unionByName(nulls)
+    spread = spread.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.col("__salts"))).drop("__salts")
+
+    def keyed(t: pa.Table, key: str | None) -> pa.Table:
+        return t.add_column(0, "key_value", pa.array([key] * t.num_rows, pa.string()))
+
+    def first(key: tuple, t: pa.Table) -> pa.Table:
+        return keyed(piece(t.drop_columns(["__key", "__salt"])), key[0].as_py())
+
+    def last(key: tuple, t: pa.Table) -> pa.Table:
+        return keyed(merge(t.drop_columns(["key_value"])), key[0].as_py())
+
+    def both(key: tuple, t: pa.Table) -> pa.Table:
+        return keyed(merge(piece(t.drop_columns(["__key"]))), key[0].as_py())
+
+    pieces = spread.groupBy("__key", "__salt").applyInArrow(first, f"key_value string, {piece_schema}")
+    out = pieces.groupBy("key_value").applyInArrow(last, f"key_value string, {schema}")
+    return out.unionByName(light.where("__key is not null").groupBy("__key").applyInArrow(both, f"key_value string, {schema}"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +86,17 @@ def p3_found(spark, d):
 
 
 def _p3_figures() -> tuple[dict, dict]:
-    parts: dict = {"rows": F.count(F.lit(1))}
+    parts: dict = {"rows": (F.count(F.lit(1)), "sum")}
     finals: dict = {"n_rows": F.col("rows")}
     for c in ("ArrDelay", "DepDelay"):
         v = F.when(F.col(c).between(airline.DELAY_LOW, airline.DELAY_HIGH), F.col(c).cast("bigint"))
-        parts |= {f"n_{c}": F.count(v), f"sum_{c}": F.sum(v), f"min_{c}": F.min(v), f"max_{c}": F.max(v), f"late_{c}": F.count(F.when(v >= 15, 1))}
+        parts |= {
+            f"known_{c}": (F.count(v), "sum"), f"minutes_{c}": (F.sum(v), "sum"), f"least_{c}": (F.min(v), "min"),
+            f"most_{c}": (F.max(v), "max"), f"late_{c}": (F.count(F.when(v >= 15, 1)), "sum"),
+        }
         finals |= {
-            f"n_{c}": F.col(f"n_{c}"), f"mean_{c}": F.round(F.col(f"sum_{c}") / F.col(f"n_{c}"), 6),
-            f"min_{c}": F.col(f"min_{c}").cast("int"), f"max_{c}": F.col(f"max_{c}").cast("int"),
+            f"n_{c}": F.col(f"known_{c}"), f"mean_{c}": F.round(F.col(f"minutes_{c}") / F.col(f"known_{c}"), 6),
+            f"min_{c}": F.col(f"least_{c}").cast("int"), f"max_{c}": F.col(f"most_{c}").cast("int"),
             f"late_{c}": F.col(f"late_{c}"),
         }
     return parts, finals
@@ -108,10 +114,54 @@ def _p3_sql() -> str:
 def p3_per_key(spark, d):
     rows = table(spark, d, "airline").select(*KEYS, "ArrDelay", "DepDelay")
     parts, finals = _p3_figures()
-    a, b = (heavy.per_key(rows, k, parts, finals, HEAVY_SHARE) for k in KEYS)
+    found, _ = heavy.candidates(rows.select(*KEYS), KEYS, HEAVY_SHARE)
+    a, b = (heavy.per_key(rows, k, parts, finals, HEAVY_SHARE, found) for k in KEYS)
+    return a.unionByName(b)
+
+
+@query(
+    "p3_distinct",
+    " UNION ALL ".join(f"SELECT '{k}' AS key_column, {k} AS key_value, count(DISTINCT FlightNum) AS n_FlightNum, count(DISTINCT Dest) AS n_Dest, count(DISTINCT TailNum) AS n_TailNum FROM airline GROUP BY {k}" for k in KEYS),
+)
+def p3_distinct(spark, d):
+    """Aggregates that don't merge: distinct flights, destinations and aircraft per key."""
+    rows = table(spark, d, "airline").select(*KEYS, "FlightNum", "Dest", "TailNum")
+    a, b = (heavy.distinct_per_key(rows, k, ["FlightNum", "Dest", "TailNum"], HEAVY_SHARE) for k in KEYS)
     return a.unionByName(b)
 
 
+def _delay_counts(t: pa.Table) -> pa.Table:
+    """Rows of one key to counts of its usable delays."""
+    c = t.column("ArrDelay").drop_null()
+    c = c.filter(pc.and_(pc.greater_equal(c, airline.DELAY_LOW), pc.less_equal(c, airline.DELAY_HIGH)))
+    v, n = np.unique(c.to_numpy(), return_counts=True)
+    return pa.table({"delay": pa.array(v, pa.int32()), "n": pa.array(n, pa.int64())})
+
+
+def _delay_middle(t: pa.Table) -> pa.Table:
+    """Counts of one key's delays to its median and its commonest delay, the least one on ties."""
+    t = t.group_by("delay").aggregate([("n", "sum")]).sort_by("delay")
+    v, n = t.column("delay").to_numpy(), t.column("n_sum").to_numpy()
+    if not len(v):
+        return pa.table({"median": pa.array([None], pa.int32()), "mode": pa.array([None], pa.int32())})
+    cum = np.cumsum(n)
+    return pa.table({"median": pa.array([v[np.searchsorted(cum, (cum[-1] + 1) // 2)]], pa.int32()), "mode": pa.array([v[n.argmax()]], pa.int32())})
+
+
+@query(
+    "p3_middle",
+    " UNION ALL ".join(
+        f"SELECT '{k}' AS key_column, k.{k} AS key_value, quantile_disc(ArrDelay, 0.5) AS median, (SELECT d FROM (SELECT a.ArrDelay AS d, count(*) AS n FROM airline a WHERE a.{k} IS NOT DISTINCT FROM k.{k} AND a.ArrDelay BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH} GROUP BY a.ArrDelay) ORDER BY n DESC, d LIMIT 1) AS mode"
+        f" FROM (SELECT {k}, CASE WHEN ArrDelay BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH} THEN ArrDelay END AS ArrDelay FROM airline) k GROUP BY k.{k}" for k in KEYS[1:]
+    ),
+)
+def p3_middle(spark, d):
+    """User code per key in two steps: median and commonest delay of every carrier."""
+    rows = table(spark, d, "airline").select("UniqueCarrier", "ArrDelay")
+    out = heavy.apply_per_key(rows, "UniqueCarrier", _delay_counts, "delay int, n bigint", _delay_middle, "median int, mode int", HEAVY_SHARE)
+    return out.select(F.lit("UniqueCarrier").alias("key_column"), "key_value", "median", "mode")
+
+
 # --- p7: data quality per column and load ----------------------------------------------------------------------------
 
 NULL_PERCENT, BAD_PERCENT, DRIFT = 20, 5, 0.30

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -57,15 +58,48 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_LEFT: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a lost executor never recomputes what came before; columns stay prunable, filters pushable.
+    The table is deleted by ``discard``, where an operator knows that no later plan reads it, or else by ``clean``, which
+    also runs when the driver's Python ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    if not _LEFT:
+        atexit.register(clean)
+    _LEFT[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by ``written`` that no plan still to run reads."""
+    for t in tables:
+        path = getattr(t, "_written_path", None)
+        if path in _LEFT:
+            _delete(_LEFT.pop(path), path)
+
+
+def clean() -> None:
+    """Delete every table that ``written`` made and nobody discarded: call it when all results have been used."""
+    while _LEFT:
+        path, spark = _LEFT.popitem()
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the context may be gone; then its folder is its owner's to clear
+            pass
 
 
 def spread(scan: DataFrame) -> DataFrame:
