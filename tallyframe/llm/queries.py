@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +39,29 @@ DELAYS = ["ArrDelay", "DepDelay"]
 PERCENTS = [10, 25, 50, 75, 90, 99]
 
 
-def _p1_sql() -> str:
+BOUND = 0.01
+
+
+def _p1_sql(value: str = "CAST(v AS DOUBLE)", bound: str = "CAST(0 AS DOUBLE)", sets: dict[str, list[str]] = SETS, delays: list[str] = DELAYS) -> str:
     picks = ", ".join(f"({p})" for p in PERCENTS)
     parts = []
-    for name, cols in SETS.items():
-        for c in DELAYS:
+    for name, cols in sets.items():
+        for c in delays:
             keys = ", ".join(cols)
             show = ", ".join(g if g in cols else f"CAST(NULL AS VARCHAR) AS {g}" for g in GROUPS)
             parts.append(
-                f"SELECT '{name}' AS grouping, {show}, '{c}' AS column_name, CAST(p AS DOUBLE) AS percent, n, CAST(v AS DOUBLE) AS value, CAST(0 AS DOUBLE) AS error_bound"
+                f"SELECT '{name}' AS grouping, {show}, '{c}' AS column_name, CAST(p AS DOUBLE) AS percent, n, {value} AS value, {bound} AS error_bound"
                 f" FROM (SELECT {keys}, {c} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY {c}) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM airline WHERE {c} IS NOT NULL),"
                 f" (VALUES {picks}) t(p) WHERE i = greatest(1, (p * n + 99) // 100)"
             )
     return " UNION ALL ".join(parts)
 
 
+# The middle of the exact value's logarithmic bucket, which is what compact parts keep of it.
+_GAMMA = (1 + BOUND) / (1 - BOUND)
+_NEAR = f"CASE WHEN v = 0 THEN 0.0 ELSE sign(v) * 2 * pow({_GAMMA!r}::DOUBLE, ceil(ln(abs(v)::DOUBLE) / {math.log(_GAMMA)!r}::DOUBLE)) / {_GAMMA + 1!r}::DOUBLE END"
+
+
 @query("p1_percentiles", _p1_sql())
 def p1_percentiles(spark, d):
     """Exact percentiles over all loads, put together from one part per load."""
@@ -59,11 +69,19 @@ def p1_percentiles(spark, d):
     return P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, SETS, PERCENTS)
 
 
-@query("p1_bounded")
+@query("p1_bounded", _p1_sql(f"round({_NEAR}, 6)", f"round({BOUND} * abs({_NEAR}), 6)"))
 def p1_bounded(spark, d):
     """The same from compact parts, with values within 1 % of the exact ones."""
-    parts = P.percentile_parts(table(spark, d, "airline"), GROUPS, DELAYS, part="load_id", relative_error=0.01)
-    return P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, SETS, PERCENTS, relative_error=0.01)
+    parts = P.percentile_parts(table(spark, d, "airline"), GROUPS, DELAYS, part="load_id", relative_error=BOUND)
+    out = P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, SETS, PERCENTS, relative_error=BOUND)
+    return out.withColumns({c: F.round(c, 6) for c in ("value", "error_bound")})
+
+
+@query("p1_spread", _p1_sql(sets={"carrier": ["UniqueCarrier"]}, delays=["ArrDelay"]))
+def p1_spread(spark, d):
+    """Carriers alone, in shards of eight runs, so that nearly every carrier is selected by proposals of many shards."""
+    parts = P.percentile_parts(table(spark, d, "airline"), GROUPS, ["ArrDelay"], part="load_id")
+    return P.percentiles(P.merge_parts(parts, GROUPS), GROUPS, {"carrier": ["UniqueCarrier"]}, PERCENTS, shard_runs=8)
 
 
 # --- p4: top N within every group ------------------------------------------------------------------------------------

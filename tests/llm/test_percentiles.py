@@ -1,18 +1,21 @@
+import math
 import random
+from fractions import Fraction
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import percentiles as P
 
 
 def exact(values, percent):
     values = sorted(values)
-    k = max(1, -(-round(percent * 100) * len(values) // 10000))
-    return values[k - 1]
+    return values[max(1, math.ceil(Fraction(str(percent)) * len(values) / 100)) - 1]
 
 
-@pytest.mark.parametrize("local_runs", [1, 50, 10_000])
-def test_both_paths_agree_with_brute_force(spark, local_runs):
+@pytest.mark.parametrize("shard_runs", [1, 50, 10_000])
+def test_any_sharding_agrees_with_brute_force(spark, shard_runs):
     rng = random.Random(3)
     rows = []
     for g in ["a", None, "hot", "one"]:
@@ -22,7 +25,7 @@ def test_both_paths_agree_with_brute_force(spark, local_runs):
     df = spark.createDataFrame(rows, "day int, g string, v double").repartition(6)
     parts = P.percentile_parts(df, ["g"], ["v"], part="day")
     merged = P.merge_parts(parts.where("day < 2"), ["g"], parts.where("day = 2"))
-    got = P.percentiles(merged, ["g"], {"g": ["g"], "all": []}, [0, 1, 50, 90, 100], local_runs=local_runs).collect()
+    got = P.percentiles(merged, ["g"], {"g": ["g"], "all": []}, [0, 1, 50, 90, 100], shard_runs=shard_runs).collect()
     want = {}
     for g in {r[1] for r in rows}:
         vs = [r[2] for r in rows if r[1] == g and r[2] is not None]
@@ -49,3 +52,24 @@ def test_bounded_error(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "g string, v double")
     assert P.percentiles(P.percentile_parts(df, ["g"], ["v"]), ["g"], {"g": ["g"]}, [50]).count() == 0
+
+
+def test_ranks_are_exact(spark):
+    df = spark.range(1, 100_000).select(F.col("id").cast("double").alias("v"))
+    runs = P.percentile_parts(df, [], ["v"])
+    for shard_runs in (10_000, 10**6):
+        got = {r.percent: r.value for r in P.percentiles(runs, [], {"all": []}, [99.996, 0.001, 33.3333, 12.5], shard_runs=shard_runs).collect()}
+        assert got == {99.996: 99996.0, 0.001: 1.0, 33.3333: 33333.0, 12.5: 12500.0}
+    assert P.rank_of(np.array([10**12 + 7]), 99_999_999, 10**8)[0] == -(-(10**12 + 7) * 99_999_999 // 10**8)
+    for bad in ([101], [-1], [1e-9], []):
+        with pytest.raises(ValueError):
+            P.multi_select(runs, ["column_name"], bad)
+
+
+def test_large_states_are_joined_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_BROADCAST", 0)
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), (F.col("id") * 37 % 1009).cast("double").alias("v"))
+    got = P.percentiles(P.percentile_parts(df, ["g"], ["v"]), ["g"], {"g": ["g"]}, [50, 99], shard_runs=20).collect()
+    for r in got:
+        assert r.value == exact([i * 37 % 1009 for i in range(3000) if i % 7 == r.g], r.percent)
+    assert len(got) == 14
