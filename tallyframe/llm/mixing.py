@@ -8,20 +8,25 @@ in training, and documents are range-sorted by position.
 The total is the largest one that keeps every share with no document used more than its source's ``max_repeats`` times:
 the minimum of repeats * tokens / share. A source is used in whole passes plus a last partial one, each in its own hash
 order. Cumulated tokens come from two-level prefix sums (hash buckets of about ``bucket_rows`` rows, then rows within a
-bucket), so a source that holds most rows is never in one task.
+bucket), so a source that holds most rows is never in one task. In the one bucket of a source in which its demand ends,
+documents are taken in their order as long as they fit what is left of the demand, longer ones being passed over, and swapped
+one for one while that fills more of it; so a share misses its target by less than the shortest document passed over, and
+never by a long document that straddles the end.
 
 Defined results: documents whose source is null or has no target aren't used, and appear in the report with target 0; a
 target source without tokens is left out and the shares of the others are scaled up (the report shows it with 0); null
-or empty texts carry no tokens but keep a place; equal rows are used as often as they occur.
+or empty texts carry no tokens but keep a place; equal rows are used as often as they occur; rows with null identifiers are
+spread like any others.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
+from tallyframe.session import written
 
 MOST_SOURCES = 10_000
 
@@ -90,8 +95,44 @@ def plan_mix(
     return out
 
 
+def first_fit(sizes: np.ndarray, room: float) -> np.ndarray:
+    """Which of the sizes, in this order, are taken into ``room``, passing over those that don't fit what is left."""
+    taken = np.zeros(len(sizes), bool)
+    at = 0
+    while at < len(sizes):
+        fits = np.cumsum(sizes[at:]) <= room
+        n = int(fits.argmin()) if not fits.all() else len(fits)  # a run that fits as a whole
+        taken[at : at + n] = True
+        room -= float(sizes[at : at + n].sum())
+        at += n
+        later = np.flatnonzero(sizes[at:] <= room)
+        if not len(later):
+            break
+        at += int(later[0])
+    return swapped(sizes, taken, room)
+
+
+def swapped(sizes: np.ndarray, taken: np.ndarray, room: float) -> np.ndarray:
+    """``taken`` after the swaps of one taken for one longer untaken size that fill most of the room left, while there are any."""
+    taken = taken.copy()
+    while room >= 1:
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        if not len(inside) or not len(outside):
+            break
+        inside = inside[np.argsort(sizes[inside], kind="stable")]
+        have, other = sizes[inside], sizes[outside]
+        at = np.searchsorted(have, other - room)  # the shortest taken one whose swap still fits
+        gain = np.where(at < len(have), other - have[np.minimum(at, len(have) - 1)], 0)
+        k = int(gain.argmax())
+        if gain[k] < 1:
+            break
+        taken[outside[k]], taken[inside[at[k]]] = True, False
+        room -= float(gain[k])
+    return taken
+
+
 def mix(docs: DataFrame, plan: list[dict], ident: str = "doc_id", source: str = "source", size: str = "n_tokens", bucket_rows: int = 20_000) -> DataFrame:
-    """(ident, source, copy_no, n_tokens, position), sorted by position. ``docs`` must be written or cheap: it is read twice."""
+    """(ident, source, copy_no, n_tokens, position), sorted by position."""
     spark = docs.sparkSession
     kind = docs.schema[ident].dataType.simpleString()
     empty = f"{ident} {kind}, source string, copy_no int, n_tokens bigint, position double"
@@ -102,23 +143,37 @@ def mix(docs: DataFrame, plan: list[dict], ident: str = "doc_id", source: str =
         [(p["source"], p["tokens"], p["demand"], p["total"], p["passes"], max(1, p["docs"] // bucket_rows), p["t"], p["w"], p["at"]) for p in plan],
         "s string, have bigint, demand double, total double, passes int, buckets bigint, t array<double>, w array<double>, at array<double>",
     )
-    d = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{source}`").alias("s0"), F.col(f"`{size}`").cast("bigint").alias("n"))
+    order = F.when(F.col(f"`{ident}`").isNotNull(), F.xxhash64(F.col(f"`{ident}`"))).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    d = docs.select(F.col(f"`{ident}`").alias("id"), F.col(f"`{source}`").alias("s0"), F.col(f"`{size}`").cast("bigint").alias("n"), order.alias("key"))
+    d = written(d.join(F.broadcast(side.select(F.col("s").alias("s0"))), "s0", "left_semi"), "mixed")
     copies = d.join(
         F.broadcast(side.select("s", "passes", "buckets")), F.col("s0") == F.col("s"),
     ).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-    copies = copies.withColumn("h", F.xxhash64("id", "copy")).withColumn(
+    copies = copies.withColumn("h", F.xxhash64("key", "copy")).withColumn(
         "b", F.pmod(F.shiftrightunsigned("h", 20), F.col("buckets")),
     ).select("id", "s", "n", "copy", "h", "b")
     sums = copies.groupBy("s", "copy", "b").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("s", "copy").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # buckets, not rows
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).drop("in_bucket")
+    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
+    sums = sums.join(F.broadcast(side.select("s", "have", "demand")), "s").withColumn("before", F.col("copy") * F.col("have") + F.col("before"))
+    sums = sums.withColumn("room", F.col("demand") + 1e-6 - F.col("before")).where("room >= 0").drop("have", "demand")
+    sums = written(sums, "buckets")
+    used = copies.join(sums, ["s", "copy", "b"])
     own = F.sum("n").over(Window.partitionBy("s", "copy", "b").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = copies.withColumn("own", own).join(sums, ["s", "copy", "b"])
-    placed = placed.join(F.broadcast(side.drop("passes", "buckets")), "s").withColumn(
-        "mid", F.col("copy") * F.col("have") + F.col("before") + F.col("own") - F.col("n") / 2,
-    )
-    used = placed.where(F.col("mid") <= F.col("demand")).withColumn("position", _position(F.col("mid") / F.col("total")))
-    out = used.select(F.col("id").alias(ident), F.col("s").alias("source"), F.col("copy").alias("copy_no"), F.col("n").alias("n_tokens"), "position")
+    shape = ["id", "s", "n", "copy", "before", "own"]
+    whole = used.where("in_bucket <= room").withColumn("own", own).select(*shape)
+
+    def cut(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("id", "ascending")])
+        n = t.column("n").to_numpy()
+        took = first_fit(n, t.column("room")[0].as_py())
+        t = t.filter(pa.array(took))
+        return pa.table([*[t.column(c) for c in shape[:-1]], pa.array(np.cumsum(n[took]), pa.int64())], names=shape)
+
+    last = used.where("in_bucket > room").groupBy("s", "copy", "b").applyInArrow(cut, f"id {kind}, s string, n bigint, copy int, before bigint, own bigint")
+    placed = whole.unionByName(last).join(F.broadcast(side.drop("passes", "buckets")), "s")
+    placed = placed.withColumn("position", _position((F.col("before") + F.col("own") - F.col("n") / 2) / F.col("total")))
+    out = placed.select(F.col("id").alias(ident), F.col("s").alias("source"), F.col("copy").alias("copy_no"), F.col("n").alias("n_tokens"), "position")
     return out.orderBy("position", "source", ident, "copy_no")
 
 

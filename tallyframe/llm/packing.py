@@ -4,8 +4,8 @@ An item costs ``linear * n + quadratic * n^2`` (attention within the item). Item
 full pieces and a rest; no other item is cut. Items fall by hash into pools of about ``pool_containers`` containers' size,
 whose number follows the total, so a pool always fits one task; pools are packed in parallel. Within a pool as many
 containers are open as its tokens need at least; pieces in descending length go to the container with the lowest cost so
-far that has room, and a new one is opened only where none has. A pool leaves about one container partly filled. A pool of
-large pieces, which balancing packs badly, is packed by least room instead.
+far that has room, and a new one is opened only where none has. A pool leaves about one container partly filled. Balancing packs badly
+where most pieces are about half the capacity: for such items the caller may ask for ``tight`` packing, by least room.
 
 Defined results: an item of no tokens (null or empty text) takes a place but no room; items with null identifiers are
 packed as any other; an empty table gives no rows. Ties in length go by identifier, ties in cost by container number.
@@ -23,7 +23,7 @@ from tallyframe.session import written
 POOL_BITS = 24
 
 
-def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float, tight: bool) -> tuple[np.ndarray, np.ndarray, int]:
+def assign(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096, tight: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Container number and offset of pieces in the order given, and how many containers it took.
 
     A piece goes to the container of lowest cost that has room; with ``tight`` to the one with the least room that will do.
@@ -44,23 +44,9 @@ def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float,
     return where, at, len(room)
 
 
-def pack(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1.0 / 4096, slack: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces in descending length, each at most ``capacity``, by lowest cost.
-
-    Where that takes over ``slack`` more containers than the tokens need (many pieces of about half the capacity), the pool
-    is packed by least room too, and the packing with fewer containers stands.
-    """
-    where, at, count = assign(lengths, capacity, linear, quadratic, False)
-    if count > 1 + (1 + slack) * (int(lengths.sum()) / capacity):
-        tight = assign(lengths, capacity, linear, quadratic, True)
-        if tight[2] < count:
-            where, at = tight[:2]
-    return where, at
-
-
 def pack_items(
     items: DataFrame, ident: str, size: str, capacity: int = 2048, pool_containers: int = 512, linear: float = 1.0,
-    quadratic: float = 1.0 / 4096,
+    quadratic: float = 1.0 / 4096, tight: bool = False,
 ) -> DataFrame:
     """(ident, piece_no, first_token, n_tokens, container_id, start): one row per piece; every item has at least one."""
     if capacity < 1:
@@ -80,7 +66,7 @@ def pack_items(
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n_tokens", "descending"), ("id", "ascending"), ("piece_no", "ascending")])
-        where, at = pack(group.column("n_tokens").to_numpy(), capacity, linear, quadratic)
+        where, at, _ = assign(group.column("n_tokens").to_numpy(), capacity, linear, quadratic, tight)
         pool = group.column("pool")[0].as_py()
         cols = [group.column(c) for c in ("id", "piece_no", "first_token", "n_tokens")]
         return pa.Table.from_arrays(

@@ -111,6 +111,21 @@ def p8_packing(spark, d):
     return packing.pack_items(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+@query("p8_kept", "SELECT count(*) AS n_docs, true AS all_placed, 0 AS overfull, 0 AS split_short, true AS little_space_left FROM documents")
+def p8_kept(spark, d):
+    """What packing promises: every document placed, no container overfull, none split but those longer than a container."""
+    packed = written(p8_packing(spark, d), "packed")
+    full = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(
+        F.count(F.when(F.col("t") > CAPACITY, 1)).cast("int").alias("overfull"), (F.sum("t") / (F.count(F.lit(1)) * CAPACITY) > 0.97).alias("little_space_left"),
+    ).withColumn("one", F.lit(1))
+    per_doc = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("t")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count(F.when((F.col("pieces") > 1) & (F.col("t") <= CAPACITY), 1)).cast("int").alias("split_short"),
+    ).withColumn("one", F.lit(1))
+    docs = table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    both = per_doc.join(full, "one").join(docs, "one")  # one row each
+    return both.select("n_docs", (F.col("n_docs") == F.col("n")).alias("all_placed"), "overfull", "split_short", "little_space_left")
+
+
 @query("p8_report")
 def p8_report(spark, d):
     return packing.fill_report(p8_packing(spark, d), CAPACITY)
@@ -139,6 +154,18 @@ def p9_shares(spark, d):
     return mixing.share_report(docs, mixed, table(spark, d, "source_targets"))
 
 
+@query(
+    "p9_on_target",
+    "SELECT source, docs, coalesce(target_share, 0) AS target_share, coalesce(max_repeats, 0) AS max_repeats, true AS on_target, true AS repeats_kept"
+    " FROM (SELECT source, count(*) AS docs FROM documents GROUP BY source) d FULL JOIN source_targets t USING (source)",
+)
+def p9_on_target(spark, d):
+    """Whether every source's actual share is within 1 % of its target, and no document used more often than allowed."""
+    r = p9_shares(spark, d)
+    near = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01 * F.col("target_share")
+    return r.select("source", "docs", "target_share", "max_repeats", near.alias("on_target"), (F.col("most_uses") <= F.col("max_repeats")).alias("repeats_kept"))
+
+
 # --- p10: abusive, hateful or sexual content -------------------------------------------------------------------------
 
 

@@ -61,3 +61,30 @@ def test_empty(spark):
     assert mixing.mix(df, mixing.plan_mix(df, TARGETS)).count() == 0
     one = spark.createDataFrame([(1, "big", 0), (2, "big", 5)], "doc_id long, source string, n_tokens long")
     assert mixing.mix(one, mixing.plan_mix(one, [("big", 1.0, 1)])).count() == 2
+
+
+def test_a_long_document_at_the_end_is_passed_over(spark):
+    rng = random.Random(4)
+    rows = [(i, "a", 9000 if i % 40 == 3 else rng.randint(1, 200)) for i in range(400)] + [(1000 + i, "b", 50) for i in range(300)] + [(None, "a", 10)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = [("a", 0.5, 1), ("b", 0.5, 1)]
+    out = mixing.mix(df, mixing.plan_mix(df, targets))
+    got = {r.source: r.t for r in out.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert got["b"] == 15_000 and 14_999 <= got["a"] <= 15_000
+
+
+def test_first_fit():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes, room = np.array([rng.choice([0, 1, 3, 7, 50]) for _ in range(30)]), rng.randint(0, 120)
+        left, want = room, []
+        for n in sizes:
+            want.append(n <= left)
+            left -= n * want[-1]
+        got = mixing.first_fit(sizes, room)
+        assert sizes[want].sum() <= sizes[got].sum() <= room
+        if left < 1 or all(want):
+            assert got.tolist() == want
+    assert mixing.first_fit(np.array([], int), 5).tolist() == []
+    assert mixing.first_fit(np.array([60, 90, 30]), 100).tolist() == [False, True, False] or mixing.first_fit(np.array([60, 90, 30]), 100).tolist() == [True, False, True]
+    assert mixing.first_fit(np.array([60, 95]), 100).tolist() == [False, True]
