@@ -25,7 +25,7 @@ _LINK = re.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\w+")
 _BROKEN = re.compile(r"[ÂÃâ][\u0080-¿Œ-™]{1,2}")
 _SPACED = re.compile(r"(?<![\w'])(?:[^\W\d_][ ]){2,}[^\W\d_](?![\w'])")
 _STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
-_WORD = re.compile(r"[.!?…]+(?=\s|$)|\n+|[\w$@€](?:[\w$@€*!'’._-]*[\w$@€*])?")
+_WORD = re.compile(r"[\w$@€](?:[\w$@€*!'’._-]*[\w$@€*])?|[.!?…]+(?=\s|$)|\n+")
 _PLAIN = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+(?:[.,:/-]\d+)*(?:st|nd|rd|th|mm|cm|kg|g|am|pm|h)?")
 _MASK = re.compile(r"\*+")
@@ -44,7 +44,7 @@ def _mend(m: re.Match) -> str:
 
 def plain(text: str) -> str:
     """Lower-case text without markup, accents and look-alikes."""
-    t = text.translate(INVISIBLE)
+    t = text if text.isascii() else text.translate(INVISIBLE)
     if "&" in t:
         t = html.unescape(t).translate(INVISIBLE)
     if "<" in t or "[" in t:
@@ -55,13 +55,16 @@ def plain(text: str) -> str:
         t = "".join(c for c in t if not unicodedata.combining(c)).translate(LOOKALIKES)
     else:
         t = t.lower()
-    t = _LINK.sub(" url ", t)
-    t = _SPACED.sub(lambda m: m.group(0).replace(" ", ""), t)
-    return _STRETCHED.sub(r"\1", t)
+    if "@" in t or "://" in t or "www." in t:
+        t = _LINK.sub(" url ", t)
+    return _SPACED.sub(lambda m: m.group(0).replace(" ", ""), t)
 
 
 def word(w: str) -> str:
-    """One token in plain letters; ``#`` for a number, empty for nothing."""
+    """One token in plain letters; ``#`` for a number, ``.`` for an end, empty for nothing."""
+    if w[0] in ".!?…\n":
+        return "."
+    w = _STRETCHED.sub(r"\1", w)
     if _PLAIN.fullmatch(w):
         return w
     if _NUMBER.fullmatch(w):
@@ -70,23 +73,30 @@ def word(w: str) -> str:
     letters = sum(c.isalpha() for c in w)
     if letters or any(c in "$@" for c in w):
         w = w.translate(SIGNS)
-    w = _JUNK.sub("", _MASK.sub("*", w.replace("_", "")))
-    return w
+    return _JUNK.sub("", _MASK.sub("*", w.replace("_", "")))
+
+
+class _Known(dict):
+    """Tokens of words met before; emptied when it grows large, which changes no result."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        t = word(w)
+        if len(w) < 40:
+            self[w] = t
+        return t
+
+
+_KNOWN = _Known()
 
 
 def tokens(text: str | None) -> list[str]:
     """Words, numbers as ``#`` and sentence ends as ``.`` (never two in a row)."""
     out = ["."]
-    if not text:
-        return out
-    for w in _WORD.findall(plain(text)):
-        if w[0] in ".!?…\n":
-            t = "."
-        else:
-            t = word(w)
-            if not t:
-                continue
-        if t != "." or out[-1] != ".":
+    for w in _WORD.findall(plain(text)) if text else ():
+        t = _KNOWN[w]
+        if t and (t != "." or out[-1] != "."):
             out.append(t)
     if out[-1] != ".":
         out.append(".")

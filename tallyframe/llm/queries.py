@@ -170,9 +170,8 @@ def p9_on_target(spark, d):
 
 
 def _scored(spark, d):
-    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
-    model = toxicity.fit(docs.select("doc_id", "text"), table(spark, d, "doc_labels"))
-    return toxicity.score_documents(docs, model, keep=["source"])
+    docs = toxicity.tokenised(table(spark, d, "documents"), "doc_id", "text", ["source"])
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, d, "doc_labels")), keep=["source"])
 
 
 @query("p10_found")

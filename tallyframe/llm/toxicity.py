@@ -5,15 +5,21 @@ seen often enough, against the overall odds or those of ``reference``, whichever
 of an n-gram carry a Dirichlet prior centred on those of its shorter suffix (for single words, on the overall odds), so rare
 n-grams say little.
 
+Tokens. Every text is read once into 64-bit hashes of its words (``tokenised``, a written table); all rounds and the scan
+work on the hashes of whole Arrow batches, an n-gram's hash being mixed from its words'. Two n-grams of 10^8 share a hash
+with a chance of about 10^-3, and would then share a count.
+
 Fitting. Votes on a document make a posterior (raters err at ``rater_error``). The first round counts n-grams by that
 posterior; later rounds count as toxic only the maximal segments that score at least ``seed_score`` within documents
-judged toxic, so the ordinary words around an insult become evidence against. Then documents without votes join in: a spread
+judged toxic, so the ordinary words around an insult become evidence against (a document judged toxic in which nothing is
+found counts by the chance that a passage of ``passage`` tokens covers a token). Then documents without votes join in: a spread
 round counts whole documents again, those with a segment of at least ``sure_score`` as toxic, so that wordings no vote covers
 are learnt from the company they keep, and a last round returns to segments. Documents fall into ``folds`` folds and each
 fold's segments are found with a model of the others, so a wrong vote doesn't confirm itself. Votes of at most ``max_fitted``
 documents are used, by hash of their identifier; all other documents join in without votes, whatever their number. Counting
-and scoring of n-grams are distributed, and the model holds at most ``max_features`` n-grams, which is the size that is
-collected and sent to every task.
+and scoring of n-grams are distributed. A model holds the n-grams whose odds differ from their suffix's by at least
+``least_news`` (else the suffix says the same) and that were seen at least twice and in ``least_share`` of all tokens, so there
+are at most 3 / ``least_share`` of them whatever the size of the data: that bounds what is collected and sent to every task.
 
 Search. Every document, whole, is scanned once in linear time for all maximal scoring segments. The best segment of m tokens
 of ordinary text follows an extreme-value law, P(S > s) = 1 - exp(-K m exp(-lambda s)). lambda is the maximum-likelihood rate
@@ -31,20 +37,22 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.llm.disguise import tokens
-from tallyframe.session import written
+from tallyframe.session import discard, spread, written
 
 ORDERS = 3
 PRIOR_WEIGHT = (4.0, 3.0, 3.0)
 LOW, HIGH = -4.0, 6.0
-FLUSH = 400_000
+HASHES, WORDS = "__hashes", "__words"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -53,19 +61,62 @@ class Settings:
     rounds: int = 3
     seed_score: float = 4.0
     sure_score: float = 6.0
+    passage: float = 12.0
+    prior_segments: float = 5.0
     reference: float = 0.1
     rater_error: float = 0.1
     max_fitted: int = 20_000
-    max_features: int = 300_000
-    max_expected: float = 1e-5
+    least_news: float = 0.1
+    least_share: float = 1e-7
+    max_expected: float = 1e-4
     folds: int = 5
 
 
+@dataclass
+class Lookup:
+    """Scores by n-gram hash: sorted hashes, and where each value of their leading bits starts."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+    bits: int = 1
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(3, np.int64))
+    longest: int = 0
+
+    @staticmethod
+    def of(keys: np.ndarray, scores: np.ndarray) -> Lookup:
+        order = np.argsort(keys)
+        keys, scores = keys[order], scores[order].astype(np.float32)
+        bits = max(1, min(24, int(len(keys)).bit_length() + 1))
+        edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        starts = np.append(np.searchsorted(keys, edges), len(keys))
+        return Lookup(keys, scores, bits, starts, int(np.diff(starts).max(initial=0)))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The score of each hash, NaN where there is none."""
+        out = np.full(len(h), np.nan)
+        if not len(self.keys):
+            return out
+        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.starts[cell], self.starts[cell + 1]
+        live = np.flatnonzero(at < end)
+        at, end, h = at[live], end[live], h[live]
+        while len(live):
+            hit = self.keys[at] == h
+            out[live[hit]] = self.scores[at[hit]]
+            at = at + 1
+            more = ~hit & (at < end)
+            live, at, end, h = live[more], at[more], end[more], h[more]
+        return out
+
+
 @dataclass
 class Model:
     """n-gram scores and the calibration."""
 
-    scores: dict[str, float]
+    scores: Lookup
     drift: float
     rate: float = 1.0
     log_k: float = 0.0
@@ -76,42 +127,124 @@ class Model:
         return (self.log_k + math.log(max(1, length)) - self.rate * score) / math.log(10)
 
 
-def token_scores(toks: list[str], scores: dict[str, float], drift: float) -> list[float]:
-    out = []
-    for i, w in enumerate(toks):
-        s = None
-        if i > 1:
-            s = scores.get(f"{toks[i - 2]} {toks[i - 1]} {w}")
-        if s is None and i:
-            s = scores.get(f"{toks[i - 1]} {w}")
-        if s is None:
-            s = scores.get(w, 0.0)
-        out.append((LOW if s < LOW else HIGH if s > HIGH else s) - drift)
+# --- tokens and n-grams ----------------------------------------------------------------------------------------------
+
+
+class _Hashes(dict):
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_HASH = _Hashes()
+
+
+def word_hash(w: str) -> int:
+    return _HASH[w]
+
+
+def tokenised(docs: DataFrame, ident: str, text: str, keep: list[str] | None = None) -> DataFrame:
+    """ident, ``keep``, the tokens of ``text`` joined by blanks, and their hashes: a written table, read from then on."""
+    names = [ident, *(keep or [])]
+    source = spread(docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text")))
+    head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, ends, hashes = [], [0], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                toks = tokens(t)
+                words.append(" ".join(toks))
+                hashes += [_HASH[w] for w in toks]
+                ends.append(len(hashes))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words, pa.string()), lists], [*names, WORDS, HASHES])
+
+    return written(source.mapInArrow(run, f"{head}, {WORDS} string, {HASHES} array<bigint>"), "tokens")
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document starts, and all tokens' hashes."""
+    at = lists.offsets.to_numpy()
+    return (at - at[0]).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def grams(at: np.ndarray, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per order: the positions where an n-gram ends within its document, and its hash there."""
+    place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+    out, full = [(np.arange(len(h)), h)], h
+    for n in range(1, ORDERS):
+        # The gram of n+1 words: its suffix of n words, led by the word n places earlier.
+        longer = np.zeros(len(h), np.uint64)
+        if len(h) > n:
+            x = (full[n:] ^ (h[:-n] * MIX + np.uint64(n))) * MIX
+            longer[n:] = x ^ (x >> np.uint64(29))
+        where = np.flatnonzero(place >= n)
+        out.append((where, longer[where]))
+        full = longer
     return out
 
 
-def maximal_segments(values: list[float]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments as (score, start, end), found in one pass.
+def gram_hash(text: str) -> int:
+    """The hash of an n-gram given as words and blanks."""
+    h = np.array([word_hash(w) for w in text.split()], np.uint64)
+    return int(grams(np.array([0, len(h)]), h)[len(h) - 1][1][-1])
+
 
-    A segment is maximal if no piece of it scores higher and no longer one around it is free of that. Candidates are kept
-    with the running totals before and after them; a new one joins earlier ones while that raises its total.
+def token_scores(at: np.ndarray, h: np.ndarray, scores: Lookup, drift: float) -> np.ndarray:
+    """Per token the score of the longest known n-gram ending there, less the drift."""
+    out = np.zeros(len(h))
+    for where, g in grams(at, h):
+        s = scores.find(g)
+        known = ~np.isnan(s)
+        out[where[known]] = s[known]
+    return np.clip(out, LOW, HIGH) - drift
+
+
+def segments(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All maximal scoring segments of every document: document, score, start and end (among all tokens), in one pass.
+
+    A segment is maximal if no piece of it scores higher and no longer one around it is free of that. Neighbouring positive
+    tokens are one candidate, kept with the running totals before and after it; a new one joins earlier ones while that
+    raises its total.
     """
-    found: list[list] = []
-    total = 0.0
-    for i, v in enumerate(values):
-        if v > 0:
-            seg = [total, total + v, i, i + 1]
-            while True:
-                j = len(found) - 1
-                while j >= 0 and found[j][0] >= seg[0]:
-                    j -= 1
-                if j < 0 or found[j][1] >= seg[1]:
-                    found.append(seg)
-                    break
-                seg = [found[j][0], seg[1], found[j][2], seg[3]]
-                del found[j:]
-        total += v
-    return [(b - a, s, e) for a, b, s, e in found]
+    total = np.append(0.0, np.cumsum(values))
+    plus = np.flatnonzero(values > 0)
+    doc = np.searchsorted(at, plus, "right") - 1
+    new = np.append(True, (np.diff(plus) > 1) | (np.diff(doc) > 0)) if len(plus) else np.zeros(0, bool)
+    heads = np.flatnonzero(new)
+    start, end = plus[heads], plus[np.append(heads[1:], len(plus)) - 1] + 1 if len(plus) else plus
+    of, before, after = doc[heads].tolist(), total[start].tolist(), total[end].tolist()
+    out: list[tuple[int, float, float, int, int]] = []
+    found: list[tuple[float, float, int, int]] = []
+    current = -1
+    for d, a, b, x, y in zip(of, before, after, start.tolist(), end.tolist()):
+        if d != current:
+            out += [(current, *f) for f in found]
+            found, current = [], d
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][0] >= a:
+                j -= 1
+            if j < 0 or found[j][1] >= b:
+                found.append((a, b, x, y))
+                break
+            a, x = found[j][0], found[j][2]
+            del found[j:]
+    out += [(current, *f) for f in found]
+    cols = list(zip(*out)) if out else [()] * 5
+    return np.array(cols[0], np.int64), np.array(cols[2], float) - np.array(cols[1], float), np.array(cols[3], np.int64), np.array(cols[4], np.int64)
+
+
+def maximal_segments(values: list[float]) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments of one document as (score, start, end)."""
+    _, score, start, end = segments(np.array([0, len(values)]), np.array(values, float))
+    return list(zip(score.tolist(), start.tolist(), end.tolist()))
+
+
+# --- fitting ---------------------------------------------------------------------------------------------------------
 
 
 def vote_posterior(prior: float, error: float):
@@ -121,8 +254,8 @@ def vote_posterior(prior: float, error: float):
     return 1 / (1 + F.exp(-logit))
 
 
-def fitting_documents(docs: DataFrame, labels: DataFrame, ident: str, text: str, s: Settings) -> DataFrame:
-    """(fold, text, y): all documents, y being null where there is no vote or, beyond about ``max_fitted``, none is used."""
+def fitting_documents(docs: DataFrame, labels: DataFrame, ident: str, s: Settings) -> DataFrame:
+    """(fold, hashes, y) of tokenised documents, y being null where there is no vote or, beyond about ``max_fitted``, none is used."""
     votes = labels.where(F.col("label").isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__id")).agg(
         F.sum("label").alias("ones"), F.count(F.lit(1)).alias("votes"),
     )
@@ -131,153 +264,131 @@ def fitting_documents(docs: DataFrame, labels: DataFrame, ident: str, text: str,
     prior = min(0.5, max(0.005, (share - s.rater_error) / (1 - 2 * s.rater_error)))
     known = min(1.0, s.max_fitted / max(1, got.docs))
     million = F.lit(1_000_000)
-    u = F.pmod(F.xxhash64("__id", F.lit(1)), million)
-    picked = votes.where(u < int(known * 1_000_000))
-    rows = docs.select(F.col(f"`{ident}`").alias("__id"), F.col(f"`{text}`").alias("text"))
-    joined = rows.join(picked, "__id", "left")
-    fold = F.pmod(F.xxhash64("__id", F.lit(2)), F.lit(s.folds)).cast("int")
-    fitted = joined.select(fold.alias("fold"), "text", F.when(F.col("votes").isNotNull(), vote_posterior(prior, s.rater_error)).alias("y"))
-    # Scanned once a round: spread over all cores.
-    return written(fitted.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())), "fitted")
+    picked = votes.where(F.pmod(F.xxhash64("__id", F.lit(1)), million) < int(known * 1_000_000))
+    picked = written(picked.select("__id", vote_posterior(prior, s.rater_error).alias("y")), "votes")
+    fold = F.pmod(F.xxhash64(F.col(f"`{ident}`"), F.lit(2)), F.lit(s.folds)).cast("int")
+    # Sampled before the join: about max_fitted rows of 16 bytes at any size of the data.
+    return docs.join(F.broadcast(picked), F.col(f"`{ident}`") == F.col("__id"), "left").select(fold.alias("fold"), HASHES, "y")
 
 
 VOTES, SEGMENTS, SPREAD, ALL_SEGMENTS = range(4)
 BEST = 1_000_000
 
 
-def token_weights(toks: list[str], y: float | None, step: int, scores: dict[str, float] | None, s: Settings) -> list[float] | None:
-    """How toxic each token counts in a round; null if the document takes no part in it."""
-    if step == VOTES:
-        return None if y is None else [y] * len(toks)
-    if y is None and step == SEGMENTS:
-        return None
-    segs = maximal_segments(token_scores(toks, scores, s.drift))
-    if step == SPREAD:
-        sure = any(g[0] >= s.sure_score for g in segs)
-        return [0.9 if sure else 0.02 if y is None else y] * len(toks)
-    out = [0.0] * len(toks)
-    if y is None or y > 0.15:
-        for score, lo, hi in segs:
-            if score >= s.seed_score:
-                out[lo:hi] = [0.7 if y is None else max(y, 0.5)] * (hi - lo)
-    return out
+def by_fold(fold: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Documents of each fold that occurs."""
+    for f in np.unique(fold):
+        yield int(f), np.flatnonzero(fold == f)
 
 
-def count_grams(fitted: DataFrame, step: int, models: dict[int, dict[str, float]] | None, s: Settings) -> DataFrame:
-    """(fold, gram, toxic, seen): weighted counts per fold; the empty gram carries the totals."""
-    shared = fitted.sparkSession.sparkContext.broadcast(models)
+def pick(at: np.ndarray, h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of some documents."""
+    size = at[docs + 1] - at[docs]
+    new = np.append(0, np.cumsum(size))
+    return new, h[np.repeat(at[docs] - new[:-1], size) + np.arange(new[-1])]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        counts: dict[tuple[int, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
 
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            b = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()),
-                    pa.array([counts[k][0] for k in keys], pa.float64()),
-                    pa.array([counts[k][1] for k in keys], pa.float64()),
-                ],
-                ["fold", "gram", "toxic", "seen"],
-            )
-            counts.clear()
-            return b
+def token_weights(at: np.ndarray, h: np.ndarray, y: np.ndarray, step: int, scores: Lookup | None, s: Settings) -> np.ndarray:
+    """How toxic each token counts in a round; ``y`` is NaN for documents without a vote."""
+    size, unknown = np.diff(at), np.isnan(y)
+    if step == VOTES:
+        return np.repeat(y, size)
+    doc, score, start, end = segments(at, token_scores(at, h, scores, s.drift))
+    if step == SPREAD:
+        sure = np.zeros(len(y), bool)
+        sure[doc[score >= s.sure_score]] = True
+        return np.repeat(np.where(unknown, np.where(sure, 0.9, 0.02), y), size)
+    judged = np.where(unknown, 0.7, np.maximum(y, 0.5))
+    hit = (score >= s.seed_score) & (unknown | (y > 0.15))[doc]
+    change = np.zeros(len(h) + 1)
+    np.add.at(change, start[hit], judged[doc[hit]])
+    np.add.at(change, end[hit], -judged[doc[hit]])
+    out = np.round(np.cumsum(change[:-1]), 9)
+    # Judged toxic, but nothing in it is known to be: any passage of the usual length may be the one.
+    unmet = ~unknown & (y > 0.5)
+    unmet[doc[hit]] = False
+    share = np.where(unmet, y * np.minimum(1.0, s.passage / np.maximum(1, size)), 0.0)
+    return out + np.repeat(share, size)
+
+
+def count_grams(fitted: DataFrame, step: int, models: dict[int, Lookup] | None, s: Settings) -> DataFrame:
+    """(fold, size, gram, suffix, toxic, seen): weighted counts per fold; a size of 0 carries the totals."""
+    shared = fitted.sparkSession.sparkContext.broadcast(models)
+    names = ["fold", "size", "gram", "suffix", "toxic", "seen"]
+
+    def one(fold: int, at: np.ndarray, h: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        weight = token_weights(at, h, y, step, shared.value[fold] if shared.value else None, s)
+        out = [tuple(np.array([x]) for x in (fold, 0, np.uint64(0), np.uint64(0), weight.sum(), float(len(weight))))]
+        shorter = np.zeros(len(h), np.uint64)
+        for n, (where, g) in enumerate(grams(at, h)):
+            key, first, inv = np.unique(g, return_index=True, return_inverse=True)
+            seen = np.bincount(inv, minlength=len(key)).astype(float)
+            toxic = np.bincount(inv, weight[where], len(key))
+            same = np.full(len(key), fold), np.full(len(key), n + 1)
+            out.append((*same, key, shorter[where[first]], toxic, seen))
+            shorter[where] = g
+        return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fold, text, y in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if y is None and step in (VOTES, SEGMENTS):
-                    continue
-                toks = tokens(text)
-                weight = token_weights(toks, y, step, models[fold] if models else None, s)
-                for i, w in enumerate(weight):
-                    gram = toks[i]
-                    for n in range(ORDERS):
-                        if n:
-                            if i < n:
-                                break
-                            gram = f"{toks[i - n]} {gram}"
-                        c = counts[(fold, gram)]
-                        c[0] += w
-                        c[1] += 1
-                c = counts[(fold, "")]
-                c[0] += sum(weight)
-                c[1] += len(weight)
-                if len(counts) > FLUSH:
-                    yield out()
-        yield out()
+            if not b.num_rows:
+                continue
+            fold, y = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(float)
+            at, h = flat(b.column(1))
+            rows: list[tuple[np.ndarray, ...]] = []
+            for f, docs in by_fold(fold, at):
+                rows += one(f, *pick(at, h, docs), y[docs])
+            c = [np.concatenate(x) for x in zip(*rows)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2].view(np.int64)), pa.array(c[3].view(np.int64)), pa.array(c[4]), pa.array(c[5])], names,
+            )
 
     if step in (VOTES, SEGMENTS):
         fitted = fitted.where("y is not null")
-    rows = fitted.mapInArrow(run, "fold int, gram string, toxic double, seen double")
-    return rows.groupBy("fold", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
-
+    rows = fitted.mapInArrow(run, "fold int, size int, gram bigint, suffix bigint, toxic double, seen double")
+    return rows.groupBy("fold", "size", "gram").agg(F.first("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
 
-def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, dict[str, float]], dict[str, float]]:
-    """For each fold the model of the others, and that of all: log-odds of n-grams against the overall or the reference odds.
 
-    Only n-grams that differ from what their suffix says are collected, of each model those of most weight up to
-    ``max_features``. Model number ``folds`` is that of all.
-    """
+def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, Lookup], Lookup]:
+    """For each fold the model of the others, and that of all: log-odds of n-grams against the overall or the reference odds."""
     of = lambda f, c: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0.0))
     every = range(s.folds + 1)
-    wide = counted.groupBy("gram").agg(
-        F.sum("toxic").alias(f"t{s.folds}"), F.sum("seen").alias(f"n{s.folds}"),
+    wide = counted.groupBy("size", "gram").agg(
+        F.first("suffix").alias("suffix"), F.sum("toxic").alias(f"t{s.folds}"), F.sum("seen").alias(f"n{s.folds}"),
         *[F.greatest(F.sum("toxic") - of(f, "toxic"), F.lit(0.0)).alias(f"t{f}") for f in range(s.folds)],
         *[(F.sum("seen") - of(f, "seen")).alias(f"n{f}") for f in range(s.folds)],
     )
-    order = F.length("gram") - F.length(F.replace(F.col("gram"), F.lit(" "), F.lit("")))
-    wide = written(wide.where(F.col(f"n{s.folds}") >= 2).withColumn("order", F.when(F.col("gram") == "", -1).otherwise(order)), "grams")
-    total = wide.where("gram = ''").first()
+    wide = written(wide.where(F.col(f"n{s.folds}") >= 2), "grams")
+    total = wide.where("size = 0").first()
+    models = {k: Lookup.of(np.zeros(0, np.uint64), np.zeros(0)) for k in every}
     base = {k: total[f"t{k}"] / total[f"n{k}"] for k in every if total and 0 < total[f"t{k}"] < total[f"n{k}"]}
-    models: dict[int, dict[str, float]] = {k: {} for k in every}
     if base:
+        support = max(2.0, s.least_share * total[f"n{s.folds}"])
         # Single words, then pairs centred on words, then triples centred on pairs.
         known, parts = None, []
         for n in range(ORDERS):
-            rows = wide.where(F.col("order") == n)
+            rows = wide.where((F.col("size") == n + 1) & (F.col(f"n{s.folds}") >= support))
             if known is not None:
-                shorter = known.select(F.col("gram").alias("suffix"), *[F.col(f"p{k}").alias(f"c{k}") for k in base])
-                rows = rows.withColumn("suffix", F.substring_index("gram", " ", -n)).join(shorter, "suffix", "left")
+                rows = rows.join(known.select(F.col("gram").alias("suffix"), *[F.col(f"p{k}").alias(f"c{k}") for k in base]), "suffix", "left")
             centre = {k: F.lit(base[k]) if known is None else F.coalesce(F.col(f"c{k}"), F.lit(base[k])) for k in base}
             p = {k: (F.col(f"t{k}") + PRIOR_WEIGHT[n] * centre[k]) / (F.col(f"n{k}") + PRIOR_WEIGHT[n]) for k in base}
             p = [F.when(F.col(f"n{k}") >= 2, p[k]).alias(f"p{k}") for k in base]
-            known = written(rows.select("gram", *p, *[centre[k].alias(f"c{k}") for k in base], *[f"n{k}" for k in base]), f"grams{n}")
+            known = rows.select("gram", *p, *[centre[k].alias(f"c{k}") for k in base])
             parts.append(known)
-        cells = parts[0]
-        for x in parts[1:]:
-            cells = cells.unionByName(x)
         odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
-        news = {k: F.abs(odds(f"p{k}") - odds(f"c{k}")) for k in base}
-        weight = {k: F.when(news[k] > 0.1, F.floor(1000 * news[k] * F.log1p(f"n{k}")).cast("int")) for k in base}
-        cells = cells.select("gram", *[odds(f"p{k}").alias(f"s{k}") for k in base], *[weight[k].alias(f"w{k}") for k in base])
-        long = cells.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"w{k}").alias("w")) for k in base])).alias("x")).select("x.*")
-        tops: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for r in long.where("w is not null").groupBy("k", "w").agg(F.count(F.lit(1)).alias("n")).collect():
-            tops[r.k].append((r.w, r.n))
-        least = {k: least_weight(tops[k], s.max_features) for k in base}
-        hit = {k: F.when(F.col(f"w{k}") >= least[k], F.col(f"s{k}")) for k in base}
-        got = cells.select("gram", *[hit[k].alias(f"s{k}") for k in base]).where(F.coalesce(*[F.col(f"s{k}") for k in base]).isNotNull()).toArrow()
-        grams = got.column("gram").to_pylist()
+        hit = {k: F.when(F.abs(odds(f"p{k}") - odds(f"c{k}")) >= s.least_news, odds(f"p{k}")).cast("float") for k in base}
+        rows = [x.select("gram", *[hit[k].alias(f"s{k}") for k in base]).where(F.coalesce(*[F.col(f"s{k}") for k in base]).isNotNull()) for x in parts]
+        got = rows[0].unionByName(rows[1]).unionByName(rows[2]).toArrow()
+        keys = got.column("gram").to_numpy().view(np.uint64)
         for k in base:
             high = max(base[k], s.reference)
-            level = math.log(high / (1 - high))
             column = got.column(f"s{k}").to_numpy()
-            models[k] = {grams[i]: float(column[i]) - level for i in np.flatnonzero(~np.isnan(column))}
+            some = ~np.isnan(column)
+            models[k] = Lookup.of(keys[some], column[some] - math.log(high / (1 - high)))
+    discard(wide)
     return models, models.pop(s.folds)
 
 
-def least_weight(counts: list[tuple[int, int]], most: int) -> int:
-    """The least weight from which at most ``most`` lie above or at it, of (weight, number)."""
-    least, above = 1 << 30, 0
-    for w, n in sorted(counts, reverse=True):
-        above += n
-        if above > most:
-            break
-        least = w
-    return least
-
-
 def truncated_rate(scores: np.ndarray, counts: np.ndarray, top: float) -> float:
     """Maximum-likelihood rate of an exponential law cut off at ``top``."""
     mean = float((scores * counts).sum() / counts.sum())
@@ -291,7 +402,7 @@ def truncated_rate(scores: np.ndarray, counts: np.ndarray, top: float) -> float:
     return lo
 
 
-def calibrate(labelled: DataFrame, models: dict[int, dict[str, float]], model: Model, s: Settings) -> Model:
+def calibrate(labelled: DataFrame, models: dict[int, Lookup], model: Model, s: Settings) -> Model:
     """lambda and K from documents voted clean, scored by the other folds' model; only a histogram reaches the driver."""
     shared = labelled.sparkSession.sparkContext.broadcast(models)
     top = s.seed_score
@@ -299,17 +410,21 @@ def calibrate(labelled: DataFrame, models: dict[int, dict[str, float]], model: M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = defaultdict(int)
         for b in batches:
-            for fold, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = token_scores(tokens(text), shared.value[fold], s.drift)
-                seen[-1] += len(x)
-                segs = maximal_segments(x)
-                for g in segs:
-                    if g[0] < top:
-                        seen[int(g[0] * 20)] += 1
-                seen[BEST + int(max((g[0] for g in segs), default=0.0) * 20)] += 1
+            if not b.num_rows:
+                continue
+            at, h = flat(b.column(1))
+            seen[-1] += len(h)
+            for f, docs in by_fold(b.column(0).to_numpy(), at):
+                own, x = pick(at, h, docs)
+                doc, score, _, _ = segments(own, token_scores(own, x, shared.value[f], s.drift))
+                best = np.zeros(len(docs))
+                np.maximum.at(best, doc, score)
+                for bins in ((score[score < top] * 20).astype(np.int64), BEST + (best * 20).astype(np.int64)):
+                    for k, n in zip(*np.unique(bins, return_counts=True)):
+                        seen[int(k)] += int(n)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["bin", "n"])
 
-    clean = labelled.where("y < 0.15").select("fold", "text", "y")
+    clean = labelled.where("y < 0.15").select("fold", HASHES, "y")
     got = {r.bin: r.n for r in clean.mapInArrow(run, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     length = max(1, got.pop(-1, 0))
     best = sorted(((b - BEST, n) for b, n in got.items() if b >= BEST), reverse=True)
@@ -322,37 +437,46 @@ def calibrate(labelled: DataFrame, models: dict[int, dict[str, float]], model: M
             model.floor = (b + 1) / 20
             break
     n = sum(got.values())
-    if n >= 20:
-        bins = np.array(list(got), float)
-        model.rate = truncated_rate((bins + 0.5) / 20, np.array(list(got.values()), float), top)
+    # Few segments in ordinary text leave the rate near its prior, that of ``prior_segments`` segments of mean 1.
+    bins = np.append((np.array(list(got), float) + 0.5) / 20, min(1.0, top / 2))
+    model.rate = truncated_rate(bins, np.append(np.array(list(got.values()), float), s.prior_segments), top)
     model.log_k = math.log((n + 1) / length / -math.expm1(-model.rate * top))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", settings: Settings | None = None) -> Model:
+    """``docs``: documents, or the table ``tokenised`` made of them."""
     s = settings or Settings()
-    fitted = fitting_documents(docs, labels, ident, text, s)
-    models: dict[int, dict[str, float]] | None = None
-    total: dict[str, float] = {}
+    if HASHES not in docs.columns:
+        docs = tokenised(docs, ident, text)
+    fitted = fitting_documents(docs, labels, ident, s)
+    models: dict[int, Lookup] | None = None
+    total = Lookup.of(np.zeros(0, np.uint64), np.zeros(0))
     for step in (VOTES, *[SEGMENTS] * (s.rounds - 1), SPREAD, ALL_SEGMENTS):
         models, total = models_of(count_grams(fitted, step, models, s), s)
     return calibrate(fitted.where("y is not null"), models, Model(total, s.drift), s)
 
 
+# --- the scan --------------------------------------------------------------------------------------------------------
+
+
 def score_documents(
     docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text", keep: list[str] | None = None,
     settings: Settings | None = None,
 ) -> DataFrame:
     """ident, ``keep`` columns, score (-log10 of the chance of the best segment), segment_score, passages, worst, flagged.
 
-    ``passages`` counts significant segments and ``worst`` shows the tokens of the best one.
+    ``passages`` counts significant segments and ``worst`` shows the tokens of the best one. ``docs``: documents, or the table
+    ``tokenised`` made of them.
     """
     s = settings or Settings()
     names = [ident, *(keep or [])]
     clash = {"score", "segment_score", "passages", "worst", "flagged"} & {c.lower() for c in names}
     if clash:
         raise ValueError(f"rename columns {sorted(clash)} first")
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("__text"))
+    if HASHES not in docs.columns:
+        docs = tokenised(docs, ident, text, keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in names], WORDS, HASHES)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     limit = math.log10(s.max_expected)
     head = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
@@ -360,20 +484,25 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            for t in b.column(b.num_columns - 1).to_pylist():
-                toks = tokens(t)
-                segs = maximal_segments(token_scores(toks, m.scores, m.drift)) if m.scores else []
-                best = max(segs, default=(0.0, 0, 0))
-                e = m.log10_expected(best[0], len(toks)) if segs else 300.0
-                chance = e if e < -12 else math.log10(max(1e-300, -math.expm1(-(10 ** min(e, 2.0)))))
-                n = sum(g[0] >= m.floor and m.log10_expected(g[0], len(toks)) <= limit for g in segs)
-                for k, v in enumerate((max(0.0, -chance), best[0], n, " ".join(toks[best[1] : best[2]]), n > 0)):
-                    out[k].append(v)
+            if not b.num_rows:
+                continue
+            at, h = flat(b.column(b.num_columns - 1))
+            doc, score, start, end = segments(at, token_scores(at, h, m.scores, m.drift)) if len(m.scores) else [np.zeros(0, np.int64)] * 4
+            size = np.diff(at)
+            expected = (m.log_k + np.log(np.maximum(1, size))[doc] - m.rate * score) / math.log(10)
+            best = np.full(b.num_rows, -1, np.int64)
+            order = np.lexsort((end, start, score))  # of a document's equal scores the last one stays
+            best[doc[order]] = order
+            some = best >= 0
+            e = np.where(some, expected[best] if len(expected) else 0.0, 300.0)
+            near = -np.expm1(-(10.0 ** np.clip(e, -12.0, 2.0)))
+            chance = np.where(e < -12, e, np.log10(np.maximum(1e-300, near)))
+            passages = np.bincount(doc[(score >= m.floor) & (expected <= limit)], minlength=b.num_rows)
+            worst = [" ".join(w.split(" ")[start[k] - a : end[k] - a]) if k >= 0 else "" for w, k, a in zip(b.column(b.num_columns - 2).to_pylist(), best.tolist(), at.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns[:-1], pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()),
-                    pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.bool_()),
+                    *b.columns[:-2], pa.array(np.maximum(0.0, -chance)), pa.array(np.where(some, score[best] if len(score) else 0.0, 0.0)),
+                    pa.array(passages, pa.int32()), pa.array(worst, pa.string()), pa.array(passages > 0),
                 ],
                 [*names, "score", "segment_score", "passages", "worst", "flagged"],
             )

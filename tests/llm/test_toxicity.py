@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -109,7 +110,7 @@ def test_no_votes(spark):
     assert X.score_documents(df, X.fit(df, none)).where("flagged").count() == 0
     assert X.score_documents(df.where("false"), X.fit(df, none)).count() == 0
     with pytest.raises(ValueError):
-        X.score_documents(df.withColumnRenamed("doc_id", "score"), X.Model({}, 0.5), ident="score")
+        X.score_documents(df.withColumnRenamed("doc_id", "score"), X.Model(X.Lookup.of(np.zeros(0, np.uint64), np.zeros(0)), 0.5), ident="score")
 
 
 def test_unvoted_documents_all_join_in(spark):
@@ -120,13 +121,33 @@ def test_unvoted_documents_all_join_in(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     lab = spark.createDataFrame(labels, "doc_id long, rater string, label int")
     s = X.Settings(max_fitted=len(voted))  # leaves no room beside the documents with votes
-    fitted = X.fitting_documents(df, lab, "doc_id", "text", s)
+    read = X.tokenised(df, "doc_id", "text")
+    fitted = X.fitting_documents(read, lab, "doc_id", s)
     assert fitted.where("y is null").count() == len(docs) - len(voted)
-    assert X.fit(df, lab, settings=s).scores.get("grobian", 0) > 1
-    few = X.fitting_documents(df, lab, "doc_id", "text", X.Settings(max_fitted=50))
+    assert X.fit(df, lab, settings=s).scores.find(np.array([X.gram_hash("grobian")], np.uint64))[0] > 1
+    few = X.fitting_documents(read, lab, "doc_id", X.Settings(max_fitted=50))
     assert few.count() == len(docs) and few.where("y is not null").count() < 100
 
 
-def test_least_weight():
-    assert X.least_weight([(5, 2), (9, 1), (7, 3)], 4) == 7
-    assert X.least_weight([(5, 2), (9, 1)], 3) == 5 and X.least_weight([(5, 4)], 3) > 5
+def test_grams_and_lookup():
+    words = "a b c a b".split()
+    h = np.array([X.word_hash(w) for w in words + ["x"] + words[:2]], np.uint64)
+    (_, one), (at2, two), (at3, three) = X.grams(np.array([0, 5, 6, 8]), h)
+    assert at2.tolist() == [1, 2, 3, 4, 7] and at3.tolist() == [2, 3, 4]
+    assert two[0] == two[3] == two[4] == X.gram_hash("a b") and three[0] == X.gram_hash("a b c") and len(set(three.tolist())) == 3
+    assert one.tolist() == h.tolist()
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
+    table = X.Lookup.of(keys[::2], np.arange(len(keys[::2])) / 7)
+    got = table.find(keys)
+    assert np.allclose(got[::2], np.arange(len(keys[::2])) / 7, atol=1e-4) and np.isnan(got[1::2]).all()
+    assert np.isnan(X.Lookup.of(np.zeros(0, np.uint64), np.zeros(0)).find(keys)).all()
+
+
+def test_a_toxic_document_without_known_words_is_no_evidence_against():
+    h = np.array([X.word_hash(w) for w in "entirely unknown words here".split()], np.uint64)
+    none = X.Lookup.of(np.zeros(0, np.uint64), np.zeros(0))
+    at, y = np.array([0, 4]), np.array([0.9])
+    assert np.allclose(X.token_weights(at, h, y, X.SEGMENTS, none, X.Settings()), 0.9)
+    assert np.allclose(X.token_weights(at, h, y, X.SEGMENTS, none, X.Settings(passage=2.0)), 0.45)
+    assert np.allclose(X.token_weights(at, h, np.array([0.05]), X.SEGMENTS, none, X.Settings()), 0)
