@@ -312,7 +312,7 @@ def token_weights(at: np.ndarray, h: np.ndarray, y: np.ndarray, step: int, score
 
 
 def count_grams(fitted: DataFrame, step: int, models: dict[int, Lookup] | None, s: Settings) -> DataFrame:
-    """(fold, size, gram, suffix, toxic, seen): weighted counts per fold; a size of 0 carries the totals."""
+    """(fold, size, gram, suffix, toxic, seen): weighted counts per fold and batch; a size of 0 carries the totals."""
     shared = fitted.sparkSession.sparkContext.broadcast(models)
     names = ["fold", "size", "gram", "suffix", "toxic", "seen"]
 
@@ -345,8 +345,7 @@ def count_grams(fitted: DataFrame, step: int, models: dict[int, Lookup] | None,
 
     if step in (VOTES, SEGMENTS):
         fitted = fitted.where("y is not null")
-    rows = fitted.mapInArrow(run, "fold int, size int, gram bigint, suffix bigint, toxic double, seen double")
-    return rows.groupBy("fold", "size", "gram").agg(F.first("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("seen").alias("seen"))
+    return fitted.mapInArrow(run, "fold int, size int, gram bigint, suffix bigint, toxic double, seen double")
 
 
 def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, Lookup], Lookup]:
@@ -355,10 +354,12 @@ def models_of(counted: DataFrame, s: Settings) -> tuple[dict[int, Lookup], Looku
     every = range(s.folds + 1)
     wide = counted.groupBy("size", "gram").agg(
         F.first("suffix").alias("suffix"), F.sum("toxic").alias(f"t{s.folds}"), F.sum("seen").alias(f"n{s.folds}"),
-        *[F.greatest(F.sum("toxic") - of(f, "toxic"), F.lit(0.0)).alias(f"t{f}") for f in range(s.folds)],
-        *[(F.sum("seen") - of(f, "seen")).alias(f"n{f}") for f in range(s.folds)],
-    )
-    wide = written(wide.where(F.col(f"n{s.folds}") >= 2), "grams")
+        *[of(f, "toxic").alias(f"t{f}") for f in range(s.folds)], *[of(f, "seen").alias(f"n{f}") for f in range(s.folds)],
+    ).where(F.col(f"n{s.folds}") >= 2)
+    wide = written(wide.withColumns({
+        **{f"t{f}": F.greatest(F.col(f"t{s.folds}") - F.col(f"t{f}"), F.lit(0.0)) for f in range(s.folds)},
+        **{f"n{f}": F.col(f"n{s.folds}") - F.col(f"n{f}") for f in range(s.folds)},
+    }), "grams")
     total = wide.where("size = 0").first()
     models = {k: Lookup.of(np.zeros(0, np.uint64), np.zeros(0)) for k in every}
     base = {k: total[f"t{k}"] / total[f"n{k}"] for k in every if total and 0 < total[f"t{k}"] < total[f"n{k}"]}
