@@ -169,16 +169,25 @@ WATCHED = ["ArrDelay", "DepTime", "Cancelled", "UniqueCarrier"]
 DELAY_STEPS, TIME_STEPS = (0, 15, 60), (600, 1200, 1800)
 
 
-def quality_rules(spark: SparkSession, d: str, most: int = 10_000) -> dict[str, profile.Rule]:
-    """Allowed values of the watched columns. The carrier codes become a literal list; more than ``most`` are refused."""
-    codes = [r.code for r in table(spark, d, "carriers").select("code").where("code is not null").limit(most + 1).collect()]
-    if len(codes) > most:
-        raise ValueError("too many carrier codes for a literal list")
+def _literal(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """A reference table's values as a literal list; more than ``most`` are refused."""
+    got = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"too many values of {column} for a literal list")
+    return got
+
+
+def quality_rules(spark: SparkSession, d: str) -> dict[str, profile.Rule]:
+    """Allowed values of the watched columns, and of the others whose validity is known."""
+    delay = profile.Rule(lambda v: v.between(airline.DELAY_LOW, airline.DELAY_HIGH), profile.steps(*DELAY_STEPS))
+    time = profile.Rule(lambda v: v.between(0, 2400) & (v % 100 < 60), profile.steps(*TIME_STEPS))
+    port = profile.one_of(_literal(table(spark, d, "airports"), "iata"))
     return {
-        "ArrDelay": profile.Rule(lambda v: v.between(airline.DELAY_LOW, airline.DELAY_HIGH), profile.steps(*DELAY_STEPS)),
-        "DepTime": profile.Rule(lambda v: v.between(0, 2400) & (v % 100 < 60), profile.steps(*TIME_STEPS)),
-        "Cancelled": profile.one_of([0, 1]),
-        "UniqueCarrier": profile.one_of(codes),
+        "ArrDelay": delay, "DepTime": time, "Cancelled": profile.one_of([0, 1]),
+        "UniqueCarrier": profile.one_of(_literal(table(spark, d, "carriers"), "code")),
+        "DepDelay": delay, "CRSDepTime": time, "ArrTime": time, "CRSArrTime": time, "Origin": port, "Dest": port,
+        "Month": profile.one_of(list(range(1, 13))), "DayofMonth": profile.one_of(list(range(1, 32))),
+        "DayOfWeek": profile.one_of(list(range(1, 8))), "TailNum": profile.Rule(lambda v: v.rlike(airline.TAIL_NUMBER)),
     }
 
 
@@ -208,12 +217,51 @@ def _p7_sql() -> str:
 
 @query("p7_found", _p7_sql())
 def p7_found(spark, d):
-    out = profile.profile(spark, f"{d}/airline.parquet", "load_id", quality_rules(spark, d), WATCHED, distinct=False)
+    rules = quality_rules(spark, d)
+    out = profile.profile(spark, f"{d}/airline.parquet", "load_id", {c: rules[c] for c in WATCHED}, WATCHED, distinct=False)
     known = F.col("n_rows") - F.col("n_null")
     bad = (F.col("n_null") * 100 > F.col("n_rows") * NULL_PERCENT) | (F.col("n_disallowed") * 100 > known * BAD_PERCENT) | F.coalesce(F.col("drift") > DRIFT, F.lit(False))
     return out.where(bad).select("load_id", "column_name")
 
 
+def _p7_counts_sql() -> str:
+    hhmm = "{c} BETWEEN 0 AND 2400 AND {c} % 100 < 60"
+    delay = f"{{c}} BETWEEN {airline.DELAY_LOW} AND {airline.DELAY_HIGH}"
+    port = "{c} IN (SELECT iata FROM airports WHERE iata IS NOT NULL)"
+    allowed = {
+        "ArrDelay": delay, "DepDelay": delay, **{c: hhmm for c in airline.TIMES}, "Cancelled": "{c} IN (0, 1)",
+        "UniqueCarrier": "{c} IN (SELECT code FROM carriers WHERE code IS NOT NULL)", "Origin": port, "Dest": port,
+        "Month": "{c} BETWEEN 1 AND 12", "DayofMonth": "{c} BETWEEN 1 AND 31", "DayOfWeek": "{c} BETWEEN 1 AND 7",
+        "TailNum": "regexp_matches({c}, '^N[A-Z0-9]{{2,5}}$')",
+    }
+    parts = []
+    for c in airline.COLUMNS:
+        bad = f"count(*) FILTER (WHERE NOT ({allowed[c].format(c=c)}))" if c in allowed else "CAST(NULL AS BIGINT)"
+        num = "CAST(NULL AS DOUBLE)" if c in airline.TEXT else None
+        text = None if c in airline.TEXT else "CAST(NULL AS VARCHAR)"
+        exact = f"count(DISTINCT {c})" if c in airline.TEXT or c in allowed else "CAST(NULL AS BIGINT)"
+        parts.append(
+            f"SELECT load_id, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, {exact} AS n_distinct, {num or f'CAST(min({c}) AS DOUBLE)'} AS min_num, {num or f'CAST(max({c}) AS DOUBLE)'} AS max_num,"
+            f" {text or f'min({c})'} AS min_text, {text or f'max({c})'} AS max_text, {bad} AS n_disallowed FROM airline GROUP BY load_id"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@query("p7_counts", _p7_counts_sql())
+def p7_counts(spark, d):
+    """What of the full profile SQL can say: rows, nulls, exact distinct values, ranges and disallowed values of all 29 columns."""
+    rules = quality_rules(spark, d)
+    out = profile.profile(spark, f"{d}/airline.parquet", "load_id", rules, airline.COLUMNS)
+    exact = F.col("column_name").isin([*airline.TEXT, *rules])  # the same columns at any size
+    return out.select("load_id", "column_name", "n_rows", "n_null", F.when(exact, F.col("n_distinct")).alias("n_distinct"), "min_num", "max_num", "min_text", "max_text", "n_disallowed")
+
+
+@query("p7_chunks")
+def p7_chunks(spark, d):
+    """Per column how many chunks there are and how many of them the profile settles by their footers."""
+    return profile.chunk_report(spark, f"{d}/airline.parquet", "load_id")
+
+
 @query("p7_profile")
 def p7_profile(spark, d):
     return profile.profile(spark, f"{d}/airline.parquet", "load_id", quality_rules(spark, d))

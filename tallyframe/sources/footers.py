@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,32 @@ def _exact(st, side: str) -> bool:
     return flag is not False
 
 
+@dataclass
+class ChunkStatistics:
+    """Of one chunk: nulls, and extrema where they are exact; null where the footer doesn't tell. ``text``: ``lo`` as text."""
+
+    nulls: int | None
+    lo: object
+    hi: object
+
+    @property
+    def text(self) -> str | None:
+        return _text(self.lo)
+
+
+def statistics_of(meta: pq.FileMetaData, group: int, columns: list[str]) -> dict[str, ChunkStatistics]:
+    where = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+    rg = meta.row_group(group)
+    out = {}
+    for c in columns:
+        st = rg.column(where[c]).statistics if c in where else None
+        exact = st is not None and st.has_min_max and _exact(st, "min") and _exact(st, "max")
+        out[c] = ChunkStatistics(
+            st.null_count if st is not None and st.has_null_count else None, st.min if exact else None, st.max if exact else None,
+        )
+    return out
+
+
 def read_file(uri: str, columns: list[str], load: str, most: int) -> Iterator[tuple]:
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(path) as f:
@@ -96,21 +123,13 @@ def read_file(uri: str, columns: list[str], load: str, most: int) -> Iterator[tu
         where = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
         for g in range(meta.num_row_groups):
             rg = meta.row_group(g)
-            ls = rg.column(where[load]).statistics if load in where else None
-            known = ls is not None and ls.has_min_max and ls.has_null_count
-            loads = (_text(ls.min), _text(ls.max), ls.null_count) if known else (None, None, None)
+            stats = statistics_of(meta, g, [load, *columns])
+            ls = stats[load]
             for c in columns:
-                if c not in where:
-                    continue
-                ch = rg.column(where[c])
-                st = ch.statistics
-                lo = hi = nulls = None
-                if st is not None:
-                    nulls = st.null_count if st.has_null_count else None
-                    if st.has_min_max and _exact(st, "min") and _exact(st, "max"):
-                        lo, hi = _text(st.min), _text(st.max)
-                values = dictionary(f, ch, most)
-                yield (uri, g, rg.num_rows, c, nulls, lo, hi, *loads, None if values is None else [_text(v) for v in values])
+                if c in where:
+                    values = dictionary(f, rg.column(where[c]), most) if most else None
+                    st = stats[c]
+                    yield (uri, g, rg.num_rows, c, st.nulls, _text(st.lo), _text(st.hi), _text(ls.lo), _text(ls.hi), ls.nulls, None if values is None else [_text(v) for v in values])
 
 
 def chunk_statistics(spark: SparkSession, files: list[str], columns: list[str], load: str, most: int = 512) -> DataFrame:

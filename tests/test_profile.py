@@ -54,7 +54,9 @@ def test_profile_against_brute_force(spark, data):
             assert abs(r.n_distinct - len(set(known))) <= 0.06 * len(set(known))
             if known and c != "code":
                 assert (r.min_num, r.max_num) == (min(known), max(known))
-            if c in ok:
+            if c not in ok:
+                assert r.n_disallowed is None
+            else:
                 allowed = [v for v in known if ok[c](v)]
                 assert r.n_disallowed == len(known) - len(allowed)
                 if allowed:
@@ -65,13 +67,23 @@ def test_profile_against_brute_force(spark, data):
                     assert r.drift is None
 
 
-def test_settled_chunks_aren_t_scanned(spark, data):
+def test_settled_chunks_arent_read(spark, data, monkeypatch):
     path, _ = data
-    ch = footers.chunk_statistics(spark, [f"file://{path}/f{i}.parquet" for i in range(3)], COLS, "load_id")
-    got = {(r.file[-10:-8], r.column_name): r.done for r in ch.groupBy("file", "column_name").agg({"row_group": "count"}).join(
-        ch.select("file", "column_name", profile.settled(ch).alias("done")), ["file", "column_name"],
-    ).collect()}
-    assert got["f0", "flag"] and got["f1", "v"] and got["f1", "code"] and not got["f0", "v"] and not got["f2", "flag"]
+    got = {r.column_name: (r.chunks, r.settled) for r in profile.chunk_report(spark, path, "load_id").collect()}
+    # Two chunks of f0, two of f1, four of f2: constant flags, the null column and the constant text of f1 need no reading.
+    assert got == {"v": (8, 2), "code": (8, 2), "flag": (8, 4), "wide": (8, 0)}
+    asked = []
+
+    class Spy(pq.ParquetFile):
+        def read_row_group(self, g, columns=None, **kw):
+            asked.append(set(columns))
+            return super().read_row_group(g, columns=columns, **kw)
+
+    scan = profile._Scan(COLS, "load_id", {"v", "code", "flag"}, {"code"}, True)
+    f = Spy(f"{path}/f1.parquet", read_dictionary=["code"])
+    for g in range(f.num_row_groups):
+        scan.group(f, g)
+    assert asked == [{"wide"}, {"wide"}]
 
 
 def test_dictionaries(spark, data):
@@ -109,3 +121,23 @@ def test_drift_of_wide_columns(spark, tmp_path):
     # A column with fewer than NARROW values is measured alike.
     narrow = {(r.load_id, r.column_name): r.drift for r in profile.profile(spark, f"{tmp_path}/few.parquet", "load_id").collect()}
     assert narrow[3, "v"] == pytest.approx(out[3, "v"], abs=0.06)
+
+
+def test_odd_types_and_nan(spark, tmp_path):
+    t = pa.table({
+        "load_id": pa.array(["x", "x", None], pa.string()), "d": pa.array([float("nan"), 1.5, -0.0]), "b": pa.array([True, None, False]),
+        "t": pa.array([0, 86_400_000_000, None], pa.timestamp("us")), "big": pa.array([2**60, 2**60 + 1, 2**60 + 1], pa.int64()),
+        "l": pa.array([[1], [], None], pa.list_(pa.int32())), "e": pa.array(["", None, "é" * 5000]),
+    })
+    pq.write_table(t, f"{tmp_path}/o.parquet")
+    for narrow in (512, 0):
+        profile.NARROW = narrow
+        try:
+            out = {(r.load_id, r.column_name): r for r in profile.profile(spark, f"{tmp_path}/o.parquet", "load_id").collect()}
+        finally:
+            profile.NARROW = 512
+        assert {c for _, c in out} == {"d", "b", "t", "big", "e"}
+        x = out["x", "d"]
+        assert (x.n_rows, x.n_null, x.n_distinct, x.min_num, x.max_num) == (2, 0, 2, 1.5, 1.5)
+        assert out["x", "big"].n_distinct == 2 and out[None, "e"].n_distinct == 1 and out["x", "b"].n_null == 1
+        assert (out["x", "t"].min_num, out["x", "t"].max_num) == (0.0, 86_400_000_000.0)
