@@ -67,6 +67,25 @@ def test_same_rows_same_fills_and_residual_variation(spark):
     assert twice.where("n > 1 or m <> 2").count() == 0
 
 
+def test_fields_with_different_numbers_of_predictors(spark):
+    (x, y), g = fields()
+    rows, truth = sample(900, 5)
+    for first in (True, False):
+        # The second predictor of x is what matters; y has one predictor only.
+        y1 = M.NumericField("y", y.usable, y.fill, lambda w: [w["x"]], y.start, -1000, 1000, [])
+        x2 = M.NumericField("x", x.usable, x.fill, lambda w: [F.lit(0), F.coalesce(F.col("hint"), F.lit(0))], x.start, -1000, 1000, ["hint"])
+        out = {r.id: r for r in M.impute(build(spark, rows).repartition(3), [y1, x2] if first else [x2, y1], g).collect()}
+        errors = sorted(abs(out[i].x - truth[i][0]) for i in out if out[i].x_filled)
+        assert errors[len(errors) // 2] <= 3 and len(errors) > 30
+
+
+def test_rows_without_evidence_take_a_donor(spark):
+    rows, _ = sample(600, 6)
+    blank = [(10_000 + i, 1.0 + i, 2.0, None, None, None, "e") for i in range(300)]
+    out = [r.g for r in M.impute(build(spark, rows + blank), *fields()).where("id >= 10000").collect()]
+    assert set(out) == {"a", "b", "c"} and out.count("a") >= max(out.count("b"), out.count("c"))
+
+
 def test_edges(spark):
     empty = build(spark, [])
     assert M.impute(empty, *fields()).count() == 0
