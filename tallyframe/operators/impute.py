@@ -22,6 +22,7 @@ empty. Output names of marks (``<field>_filled``) must be free.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -231,13 +232,15 @@ def impute(df: DataFrame, numbers: list[NumericField], cat: CategoryField, round
     odds = counted.groupBy("category").agg(F.array(*share).alias("odds"))
     with_odds = counted.join(odds, "category")
     # One usable row per slot, the one of least hash: every row has the same chance, a category that of its share. A table of
-    # few rows has fewer slots, so that none stays empty.
+    # few rows has fewer slots; one that stays empty repeats its neighbour. At most DONORS rows reach the driver.
     usable = counted.agg(F.sum("n")).first()[0] or 0
-    slots = F.lit(max(1, min(DONORS, usable // 32)))
+    slots = F.lit(max(1, min(DONORS, usable // 2)))
     picked = df.where(cat.value.isNotNull()).select(seed.alias("h"), cat.value.alias("category")).groupBy(F.pmod("h", slots).alias("slot")).agg(
         F.min_by("category", F.xxhash64("h", F.lit(7))).alias("category"),
     )
-    donors = picked.join(odds, "category").withColumn("n", F.lit(1))
+    by_slot = sorted((r.slot, r.category) for r in picked.collect())
+    full = [(i, by_slot[k - 1][1]) for i in range(max(1, min(DONORS, usable // 2))) if (k := bisect_right(by_slot, i, key=lambda r: r[0])) or by_slot]
+    donors = df.sparkSession.createDataFrame(full, f"slot bigint, category {picked.schema['category'].dataType.simpleString()}").join(odds, "category").withColumn("n", F.lit(1))
     todo = wide.where(cat.value.isNull()).select(F.col("__k").alias("__row"), seed.alias("__seed"), *[c.alias(n) for n, c in cat.keys.items()])
     found = _candidates(with_odds, donors, slots, todo, cat)
     state = written(state.join(found, F.col("__k") == F.col("__row"), "left").drop("__row"), "state")
