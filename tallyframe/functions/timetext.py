@@ -78,6 +78,16 @@ def offset_minutes(text: str) -> int | None:
 
 
 def readings(text: str | None) -> list[tuple[int, int, int, str | None]]:
+    """All valid readings; short texts, which recur, are read once per process."""
+    return _short(text) if text is not None and len(text) <= 5 else _read(text)
+
+
+@lru_cache(maxsize=100_000)
+def _short(text: str) -> list[tuple[int, int, int, str | None]]:
+    return _read(text)
+
+
+def _read(text: str | None) -> list[tuple[int, int, int, str | None]]:
     """(format code, kind, microseconds, zone written without an offset) of every valid reading.
 
     Microseconds count from 1970 UTC (instants), from 1970 in local time, or from midnight (clock times).

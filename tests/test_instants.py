@@ -1,3 +1,5 @@
+import itertools
+import random
 from datetime import datetime, timezone
 
 import pytest
@@ -113,5 +115,46 @@ def test_viterbi_prefers_the_running_format_on_ties():
     assert I.viterbi([only, near, only], [day, day, day])[1][0] == 6
 
 
+def brute(options, days):
+    best = None
+    for combo in itertools.product(*[range(len(o)) for o in options]):
+        c = 0.0
+        for n, k in enumerate(combo):
+            o = options[n][k]
+            if len(options[n]) > 1 and days[n] is not None:
+                c += abs(o[2] // X.DAY - days[n]) * I.NEAR
+            if n:
+                c += I.step_cost(options[n - 1][combo[n - 1]], o)
+        if best is None or c < best - 1e-9:
+            best = c
+    return best
+
+
+def test_runs_chained_are_as_cheap_as_one_run():
+    rng = random.Random(8)
+    for _ in range(150):
+        n = rng.randint(1, 9)
+        options = [[(rng.choice([6, 7]), X.LOCAL, rng.randint(0, 6) * X.DAY, None) for _ in range(rng.choice([1, 2, 2]))] for _ in range(n)]
+        days = [rng.choice([None, 3]) for _ in range(n)]
+        cuts = sorted(rng.sample(range(1, n), min(n - 1, rng.randint(0, 3)))) if n > 1 else []
+        bounds = list(zip([0, *cuts], [*cuts, n]))
+        both = I.chain([I.ends(options[a:b], days[a:b]) for a, b in bounds])
+        chosen = [r for (a, b), e in zip(bounds, both) for r in I.viterbi(options[a:b], days[a:b], *e)]
+        assert brute([[c] for c in chosen], days) + sum(
+            abs(c[2] // X.DAY - d) * I.NEAR for c, o, d in zip(chosen, options, days) if len(o) > 1 and d is not None
+        ) == pytest.approx(brute(options, days))
+
+
+def test_only_the_order_decides_and_cuts_dont_matter(spark):
+    # Without a date of its own a row's swapped day is told by the format its feed is running in, across any cut.
+    swapped = lambda k: (None, None, None, None, f"0{k}/0{k + 1}/2020 10:00", None, None, "UTC", "UTC")
+    plain = lambda t: (None, None, None, None, t, None, None, "UTC", "UTC")
+    rows = [plain("01/25/2020 10:00"), swapped(2), swapped(3), plain("04/25/2020 10:00"), plain("25/05/2020 10:00"), swapped(6), swapped(7), plain("25/08/2020 10:00")]
+    results = [run(spark, rows, run_length=n) for n in (1, 2, 3, 100)]
+    assert all(r == results[0] for r in results)
+    month = [datetime.fromtimestamp(results[0][i, "sched"][1] / US, timezone.utc).month for i in range(8)]
+    assert month == [1, 2, 3, 4, 5, 7, 8, 8]
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
