@@ -60,7 +60,7 @@ class Frame:
         """``@this`` stands for this frame."""
         return self.manager.sql2frame(text, this=self)
 
-    def sql_rows(self, text: str, max_rows: int = 1000) -> list[str]:
+    def sql_rows(self, text: str, max_rows: int | None = None) -> list[str]:
         return self.manager.sql(text, max_rows, this=self)
 
     def project(self, *columns: str) -> Frame:
@@ -109,11 +109,11 @@ class Frame:
     def simple_summary(self) -> list:
         return stats.simple_summary(self.df).collect()
 
-    def five_num_summary(self, columns: list[str] | None = None) -> list:
-        return stats.five_num(self.df, columns).orderBy("column_no").collect()
+    def five_num_summary(self, columns: list[str] | None = None, exact: bool = True) -> list:
+        return stats.five_num(self.df, columns, exact).orderBy("column_no").collect()
 
-    def quantiles(self, column: str, probs: list[float]) -> list[float]:
-        return [r.value for r in stats.quantiles(self.df, column, probs).orderBy("prob").collect()]
+    def quantiles(self, column: str, probs: list[float], exact: bool = True) -> list[float]:
+        return [r.value for r in stats.quantiles(self.df, column, probs, exact).orderBy("prob").collect()]
 
     def mean(self, column: str) -> float:
         return stats.mean(self.df, column).first()[0]
@@ -126,8 +126,8 @@ class Frame:
 
     approx_histogram = histogram
 
-    def binning(self, column: str, kind: str, bins=None, breaks=None, include_lowest=True, right=True) -> Frame:
-        return self._new(B.binning(self.df, column, kind, bins, breaks, include_lowest, right), True)
+    def binning(self, column: str, kind: str, bins=None, breaks=None, include_lowest=True, right=True, exact=True) -> Frame:
+        return self._new(B.binning(self.df, column, kind, bins, breaks, include_lowest, right, exact), True)
 
     def drop_na(self, by: str = "row", how: str = "any", thresh: int = 0, columns=None) -> Frame:
         return self._new(N.drop_na(self.df, by, how, thresh, columns), True)
@@ -170,6 +170,10 @@ class Frame:
     def transform(self, assignment: str) -> Frame:
         return self._new(transform.transform_expr(self.df, assignment), True)
 
+    def transform_batches(self, fn, schema: str) -> Frame:
+        """User code from pandas batches to pandas batches."""
+        return self._new(transform.transform_batches(self.df, fn, schema), True)
+
     def map_reduce(self, map_fn, reduce, value_type: str = "double", combine: bool = True) -> Frame:
         return self._new(transform.map_reduce(self.df, map_fn, reduce, value_type, combine))
 

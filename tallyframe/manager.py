@@ -71,8 +71,8 @@ class FrameManager:
         df = self._select(text, this)
         return self.new_frame(df.toDF(*names) if names else df)
 
-    def sql(self, text: str, max_rows: int = 1000, this: Frame | None = None) -> list[str]:
-        """Rows as tab-joined texts; CREATE and LOAD answer ``["0"]``."""
+    def sql(self, text: str, max_rows: int | None = None, this: Frame | None = None) -> list[str]:
+        """Rows as tab-joined texts, all of them or the first ``max_rows``; CREATE and LOAD answer ``["0"]``."""
         if text.lstrip()[:6].lower() == "create" or text.lstrip()[:4].lower() == "load":
             stmt = sqlfront.parse(text)
             if isinstance(stmt, sqlfront.Create):
@@ -82,10 +82,14 @@ class FrameManager:
                 df = delimited.load_into(self.spark, stmt.path, schema, stmt.sep, stmt.null, stmt.empty, stmt.defaults)
                 self.new_frame(df, stmt.table)
             return ["0"]
-        return [r.row_text for r in rows_text(self._select(text, this).limit(max_rows)).collect()]
+        return [r.row_text for r in rows_text(self._first(text, max_rows, this)).collect()]
 
-    def sql_typed(self, text: str, max_rows: int = 1000, this: Frame | None = None) -> list:
-        return self._select(text, this).limit(max_rows).collect()
+    def sql_typed(self, text: str, max_rows: int | None = None, this: Frame | None = None) -> list:
+        return self._first(text, max_rows, this).collect()
+
+    def _first(self, text: str, max_rows: int | None, this: Frame | None) -> DataFrame:
+        df = self._select(text, this)
+        return df if max_rows is None else df.limit(max_rows)
 
     def warehouse(self) -> str:
         return self._warehouse or os.path.join(shared_dir(self.spark), "frames")

@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.operators.order_stats import exact_quantiles
 from tallyframe.operators.stats import need_numeric
 from tallyframe.schema import set_as_factor
 
@@ -44,9 +45,8 @@ def breaks_for(df: DataFrame, column: str, kind: str, bins: int | None, breaks:
         return [got.lo + i * step for i in range(bins)] + [got.hi]
     if kind == "EQUALFREQ":
         probs = [i / bins for i in range(bins + 1)]
-        q = F.percentile(v, F.array(*[F.lit(p) for p in probs])) if exact else F.percentile_approx(v, probs, 10000)
-        got = df.agg(q.alias("q")).first().q
-        return sorted(set(got)) if got else []
+        got = exact_quantiles(df, [column], probs)[0] if exact else df.agg(F.percentile_approx(v, probs, 10000).alias("q")).first().q
+        return sorted(set(got)) if got and got[0] is not None else []
     raise ValueError(f"unknown binning type {kind!r}")
 
 

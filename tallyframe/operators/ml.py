@@ -42,13 +42,16 @@ class Model:
         return out.select(*(df.columns if include_features else label), y.alias("yPredict"))
 
 
-def svm(df: DataFrame, iterations: int = 100, regularization: float = 0.01) -> Model:
-    """Linear SVM. Labels of -1 and 1 (or 0 and 1) in the first column."""
+def svm(df: DataFrame, iterations: int = 100, regularization: float = 0.01, tolerance: float = 1e-4) -> Model:
+    """Linear SVM. Labels of -1 and 1 (or 0 and 1) in the first column.
+
+    Solved by a quasi-Newton method over the whole table, which needs no blocks, step size or seed.
+    """
     label, cols = df.columns[0], df.columns[1:]
     rows = df.dropna()
     low = rows.agg(F.min(F.col(label).cast("double"))).first()[0]
     data = features(rows, cols).withColumn("__label", (F.col(label).cast("double") > 0).cast("double"))
-    raw = LinearSVC(featuresCol=FEATURES, labelCol="__label", maxIter=iterations, regParam=regularization).fit(data)
+    raw = LinearSVC(featuresCol=FEATURES, labelCol="__label", maxIter=iterations, regParam=regularization, tol=tolerance).fit(data)
     return Model("svm", raw, cols, low if low is not None and low < 0 else 0.0)
 
 
@@ -98,13 +101,37 @@ def lloyd(df: DataFrame, centroids: list[list[float]], iterations: int = 10) ->
     return Model("centroids", raw, cols)
 
 
-def k_means(df: DataFrame, clusters: int, iterations: int = 10, init: str = "k-means||", seed: int = 1, centroids: list[list[float]] | None = None) -> Model:
-    """``init`` is ``random`` or ``k-means||`` (also under the name ``k-means++``); ``centroids`` are given first centres."""
+def plus_plus(df: DataFrame, clusters: int, seed: int = 1) -> list[list[float]]:
+    """First centres of k-means++: each one a row drawn with a chance in proportion to its squared distance from the others.
+
+    A draw is one aggregation: the row with the largest log(u) / weight, u being a hash of row and seed. Fewer distinct rows
+    than clusters give as many centres.
+    """
+    cols = list(df.columns)
+    rows = df.dropna().select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    at = [F.col(f"c{i}") for i in range(len(cols))]
+    centres: list[list[float]] = []
+    for n in range(clusters):
+        u = (F.pmod(F.xxhash64(F.lit(seed), F.lit(n), *at), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+        far = [sum(((a - F.lit(b)) ** 2 for a, b in zip(at, c)), F.lit(0.0)) for c in centres]
+        weight = F.lit(1.0) if not far else far[0] if len(far) == 1 else F.least(*far)
+        r = rows.withColumn("w", weight).where("w > 0").agg(F.max_by(F.struct(*at), F.log(u) / F.col("w")).alias("x")).first().x
+        if r is None:
+            break
+        centres.append([float(v) for v in r])
+    if not centres:
+        raise ValueError("no row without a null")
+    return centres
+
+
+def k_means(df: DataFrame, clusters: int, iterations: int = 10, init: str = "k-means||", seed: int = 1, centroids: list[list[float]] | None = None, init_rounds: int = 2) -> Model:
+    """``init`` is ``random``, ``k-means||`` (in ``init_rounds`` rounds) or ``k-means++``; ``centroids`` are given first centres."""
+    if centroids is None and init == "k-means++":
+        centroids = plus_plus(df, clusters, seed)
     if centroids is not None:
         return lloyd(df, centroids, iterations)
-    init = "k-means||" if init == "k-means++" else init
     cols = list(df.columns)
-    raw = KMeans(featuresCol=FEATURES, k=clusters, maxIter=iterations, initMode=init, tol=0.0, seed=seed).fit(features(df.dropna(), cols))
+    raw = KMeans(featuresCol=FEATURES, k=clusters, maxIter=iterations, initMode=init, initSteps=init_rounds, tol=0.0, seed=seed).fit(features(df.dropna(), cols))
     return Model("kmeans", raw, cols)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.operators.order_stats import exact_quantiles
 from tallyframe.schema import factors
 from tallyframe.session import numeric
 
@@ -69,10 +70,14 @@ def simple_summary(df: DataFrame) -> DataFrame:
 
 
 def five_num(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Min, max, lower quartile, median, upper quartile per named column. ``exact=False`` uses a mergeable sketch."""
+    """Min, max, lower quartile, median, upper quartile per named column; exact, or by a mergeable sketch in one pass."""
     columns = columns or numeric_columns(df)
     need_numeric(df, *columns)
-    q = (lambda p: lambda c: F.percentile(c, F.lit(p))) if exact else (lambda p: lambda c: F.percentile_approx(F.col(c).cast("double"), p, 10000))
+    if exact:
+        got = exact_quantiles(df, columns, [0.0, 1.0, 0.25, 0.5, 0.75])
+        rows = [(i, c, *q) for i, (c, q) in enumerate(zip(columns, got))]
+        return df.sparkSession.createDataFrame(rows, "column_no int, column_name string, min double, max double, q1 double, median double, q3 double")
+    q = lambda p: lambda c: F.percentile_approx(F.col(c).cast("double"), p, 10000)
     return _long(
         df, columns,
         {"min": lambda c: F.min(F.col(c).cast("double")), "max": lambda c: F.max(F.col(c).cast("double")), "q1": q(0.25), "median": q(0.5), "q3": q(0.75)},
@@ -85,8 +90,10 @@ def quantiles(df: DataFrame, column: str, probs: list[float], exact: bool = True
     if not all(0 <= p <= 1 for p in probs):
         raise ValueError("probabilities lie in [0, 1]")
     whole = isinstance(df.schema[column].dataType, WHOLE)
-    q = F.percentile(column, F.array(*[F.lit(p) for p in probs])) if exact else F.percentile_approx(F.col(column).cast("double"), probs, 10000)
-    got = df.agg(q.alias("q"))
+    if exact:
+        got = df.sparkSession.createDataFrame([(exact_quantiles(df, [column], probs)[0],)], "q array<double>")
+    else:
+        got = df.agg(F.percentile_approx(F.col(column).cast("double"), probs, 10000).alias("q"))
     out = got.select(F.posexplode(F.coalesce(F.col("q"), F.array(*[F.lit(None).cast("double")] * len(probs)))).alias("i", "value"))
     value = F.floor("value").cast("double") if whole else F.col("value")
     return out.select(F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1).alias("prob"), value.alias("value"))

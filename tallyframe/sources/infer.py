@@ -36,6 +36,14 @@ def column_info(sample: list[list[str | None]], header: list[str] | None = None,
     return T.StructType([T.StructField(n, determine_type(c, prefer_double), True) for n, c in zip(names, cells)])
 
 
+THOUSANDS = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$"
+
+
+def without_separators(text: Column) -> Column:
+    """``1,234`` as ``1234``; other texts as they are."""
+    return F.when(text.rlike(THOUSANDS), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+
+
 def cell(text: Column, kind: T.DataType, use_defaults: bool) -> Column:
     """One typed cell; text that doesn't fit is 0 / false / the epoch with defaults, else null. No trimming."""
     whole, real = text.rlike(r"^[+\-0-9]+$"), text.rlike(r"^[+\-0-9.eE]+$")

@@ -273,3 +273,62 @@ def test_entry_has_every_problem_of_the_core():
     names = set(entry.queries())
     assert {"p2_found", "p3_found", "p5_found", "p6_found", "p7_found"} <= names
     assert set(entry.oracle_sql()) <= names
+
+
+def test_load_file_quotes_thousands_and_header(m, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('name,n,share\n"a,b","1,234",0.5\nname,n,share\n"c ""d""",-12,1.25\n')
+    rows = [tuple(r) for r in m.load_file(str(p), has_header=True).df.collect()]
+    assert rows[0] == ("a,b", "1,234", "0.5") and rows[1] == ("name", "n", "share")  # a data row like the header stays
+    p.write_text('"a,b","1,234",0.5\nx,"2,345,678",1.25\n')
+    assert [tuple(r) for r in m.load_file(str(p)).df.collect()] == [("a,b", 1234, 0.5), ("x", 2345678, 1.25)]
+    p.write_text("1,234;x\n7;y\n")
+    assert [tuple(r) for r in m.load_file(str(p), sep=";").df.collect()] == [(1234, "x"), (7, "y")]
+
+
+def test_no_row_is_cut_off_silently(m, spark):
+    m.new_frame(spark.range(2500).toDF("id"), "many")
+    assert len(m.sql("select id from many")) == len(m.sql_typed("select id from many")) == 2500
+    assert len(m.sql_typed("select id from many", 3)) == 3
+
+
+def test_samples_dont_depend_on_partitions(spark):
+    df = spark.range(3000).selectExpr("id", "id % 7 as k")
+    for draw in (
+        lambda d: sampling.sample_rows(d, 50, seed=3), lambda d: sampling.sample_rows(d, 5000, True, 3), lambda d: sampling.sample_rows(d, 40, True, 3),
+        lambda d: sampling.sample_fraction(d, 0.1, seed=3), lambda d: sampling.sample_fraction(d, 0.5, True, 3),
+    ):
+        a, b = (sorted(map(tuple, draw(df.repartition(n)).collect())) for n in (1, 7))
+        assert a == b
+    assert sampling.sample_rows(df, 5000, True, 3).count() == 5000
+    assert 200 < sampling.sample_fraction(df, 0.1, seed=3).count() < 400
+    assert 1300 < sampling.sample_fraction(df, 0.5, True, 3).count() < 1700
+
+
+def test_exact_quantiles_by_ranges(spark):
+    from tallyframe.operators.order_stats import exact_quantiles
+
+    df = spark.range(1001).selectExpr("cast(id * id % 997 as int) as a", "case when id % 3 = 0 then id / 7 end as b", "cast(null as int) as c").repartition(5)
+    probs = [0.0, 0.1, 0.333, 0.5, 0.99, 1.0]
+    got = exact_quantiles(df, ["a", "b", "c"], probs)
+    want = df.selectExpr(*[f"percentile({c}, array({', '.join(map(str, probs))})) as {c}" for c in "abc"]).first()
+    assert got[0] == pytest.approx(want.a) and got[1] == pytest.approx(want.b) and got[2] == [None] * 6
+    assert exact_quantiles(df.where("false"), ["a"], [0.5]) == [[None]]
+
+
+def test_qualified_columns(m, flights, years):
+    m.new_frame(flights.select("id", "Year"), "f1")
+    m.new_frame(flights.select("id", "Year"), "f2")
+    got = m.sql_typed("select f1.id, f2.Year as y from f1 join f2 on (f1.id = f2.id) where f2.Year > 0 && f1.id >= 0")
+    plain = m.sql_typed("select id, Year as y from f1 where Year > 0 and id >= 0")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and got
+
+
+def test_plus_plus(spark):
+    df = spark.createDataFrame([(float(i % 3) * 100 + i % 2, float(i % 3)) for i in range(90)], "x double, y double")
+    from tallyframe.operators import ml
+
+    centres = ml.plus_plus(df, 3, seed=5)
+    assert sorted(round(c[0] / 100) for c in centres) == [0, 1, 2]
+    assert len(ml.plus_plus(df.limit(1), 3)) == 1
+    assert len({r.yPredict for r in ml.k_means(df, 3, init="k-means++").transform(df).collect()}) == 3
