@@ -252,9 +252,9 @@ def agg_functions(spark, d):
     return rounded(rounded(out, 4, "m", "a"), 2, "s")
 
 
-@query("agg_on_column", "SELECT round(sum(mpg), 4) AS SUM_mpg FROM mtcars")
+@query("agg_on_column", "SELECT round(sum(l_quantity), 2) AS SUM_l_quantity FROM lineitem")
 def agg_on_column(spark, d):
-    return rounded(A.aggregate_on_column(table(spark, d, "mtcars"), "sum", "mpg"))
+    return rounded(A.aggregate_on_column(table(spark, d, "lineitem"), "sum", "l_quantity"), 2)
 
 
 @query("agg_dropnull", f"SELECT round(avg(value), 4) AS v, event_type FROM ({HOLED}) WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type")
@@ -279,19 +279,19 @@ def _each(items: str, source: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS column_no, '{c}' AS column_name, {items.format(c=c)} FROM {source}" for i, c in enumerate(columns))
 
 
-CARS = ["mpg", "cyl", "disp", "hp", "drat", "wt", "qsec", "vs", "am", "gear", "carb"]
+BALANCES = ["c_custkey", "c_nationkey", "c_acctbal"]
 
 
 @query(
     "stat_summary",
     _each(
-        "round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stdev, round(var_samp({c}), 4) AS variance, count({c}) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max",
-        "mtcars",
-        CARS,
+        "round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stdev, round(var_samp({c}), 1) AS variance, count({c}) AS n, count(*) - count({c}) AS n_null, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max",
+        "customer",
+        BALANCES,
     ),
 )
 def stat_summary(spark, d):
-    return rounded(stats.summary(table(spark, d, "mtcars")), 4, "mean", "stdev", "variance")
+    return rounded(rounded(stats.summary(table(spark, d, "customer"), BALANCES), 4, "mean", "stdev"), 1, "variance")
 
 
 @query(
@@ -312,11 +312,11 @@ def stat_distinct_levels(spark, d):
     "stat_five_num",
     _each(
         "CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS q3",
-        "mtcars", ["mpg", "hp", "wt"],
+        "lineitem", ["l_quantity", "l_extendedprice", "l_discount"],
     ),
 )
 def stat_five_num(spark, d):
-    return rounded(stats.five_num(table(spark, d, "mtcars"), ["mpg", "hp", "wt"]), 4, "q1", "median", "q3")
+    return rounded(stats.five_num(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]), 4, "q1", "median", "q3")
 
 
 @query(
@@ -327,9 +327,9 @@ def stat_quantiles(spark, d):
     return stats.quantiles(table(spark, d, "airline"), "ArrDelay", [0.3, 0.5, 0.7])
 
 
-@query("stat_mean", "SELECT round(avg(hp), 4) AS mean FROM mtcars")
+@query("stat_mean", "SELECT round(avg(l_extendedprice), 4) AS mean FROM lineitem")
 def stat_mean(spark, d):
-    return rounded(stats.mean(table(spark, d, "mtcars"), "hp"))
+    return rounded(stats.mean(table(spark, d, "lineitem"), "l_extendedprice"))
 
 
 @query("stat_variance", "SELECT round(var_samp(FlightNum), 2) AS variance, round(stddev_samp(FlightNum), 4) AS stdev FROM airline")
@@ -345,20 +345,20 @@ def stat_covariance(spark, d):
 def _hist_sql(even: bool) -> str:
     edge = "lo + i * ((hi - lo) / 10)" if even else "CASE WHEN i = 9 THEN hi ELSE lo + i * ((hi - lo) / 10) END"
     return (
-        f"WITH m AS (SELECT min(mpg) AS lo, max(mpg) AS hi FROM mtcars), e AS (SELECT i, {edge} AS x FROM m, range(10) t(i)),"
+        f"WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events), e AS (SELECT i, {edge} AS x FROM m, range(10) t(i)),"
         " b AS (SELECT i, x, lead(x, 1, 1e308) OVER (ORDER BY i) AS nx FROM e)"
-        " SELECT x, (SELECT count(*) FROM mtcars WHERE mpg >= x AND mpg < nx) AS y FROM b"
+        " SELECT x, (SELECT count(*) FROM events WHERE value >= x AND value < nx) AS y FROM b"
     )
 
 
 @query("stat_histogram", _hist_sql(False))
 def stat_histogram(spark, d):
-    return stats.histogram(table(spark, d, "mtcars"), "mpg", 10)
+    return stats.histogram(table(spark, d, "events"), "value", 10)
 
 
 @query("stat_histogram_even", _hist_sql(True))
 def stat_histogram_even(spark, d):
-    return stats.histogram(table(spark, d, "mtcars"), "mpg", 10, even=True)
+    return stats.histogram(table(spark, d, "events"), "value", 10, even=True)
 
 
 # --- binning ---------------------------------------------------------------------------------------------------------
@@ -409,10 +409,10 @@ for _low, _right in ((True, False), (False, True), (False, False)):
 
 @query(
     "factor_counts",
-    "SELECT 'cyl' AS column_name, CAST(cyl AS VARCHAR) AS level, count(*) AS n FROM mtcars WHERE cyl IS NOT NULL GROUP BY cyl UNION ALL SELECT 'gear', CAST(gear AS VARCHAR), count(*) FROM mtcars WHERE gear IS NOT NULL GROUP BY gear",
+    "SELECT 'o_orderstatus' AS column_name, o_orderstatus AS level, count(*) AS n FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY o_orderpriority",
 )
 def factor_counts_query(spark, d):
-    return factor_counts(set_as_factor(set_as_factor(table(spark, d, "mtcars"), "cyl"), "gear"))
+    return factor_counts(set_as_factor(set_as_factor(table(spark, d, "orders"), "o_orderstatus"), "o_orderpriority"))
 
 
 @query("na_drop_rows", f"SELECT * FROM ({HOLED}) WHERE value IS NOT NULL AND event_type IS NOT NULL")
