@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyframe.session import discard, numeric, written
-from tallyframe.sources.footers import ChunkStatistics, chunk_statistics, statistics_of
+from tallyframe.sources.footers import ChunkStatistics, chunk_statistics, files_of, statistics_of
 
 NARROW = 512
 REGISTERS = 4096
@@ -285,7 +285,7 @@ def settled(load: str) -> Column:
 def chunk_report(spark: SparkSession, path: str, load: str, columns: list[str] | None = None) -> DataFrame:
     """Per column: chunks, those that the profile doesn't read, and those whose dictionary names all their values."""
     df = spark.read.parquet(path)
-    ch = chunk_statistics(spark, df.inputFiles(), columns or [c for c in flat_columns(df.schema) if c != load], load, NARROW)
+    ch = chunk_statistics(files_of(df), columns or [c for c in flat_columns(df.schema) if c != load], load, NARROW)
     return ch.groupBy("column_name").agg(
         F.count(F.lit(1)).alias("chunks"), F.count(F.when(settled(load), 1)).alias("settled"), F.count("candidates").alias("narrow_dictionaries"),
     )
@@ -309,12 +309,9 @@ def profile(spark: SparkSession, path: str, load: str, rules: dict[str, Rule] |
     columns = [c for c in flat if c != load] if columns is None else columns
     if bad := [c for c in [load, *columns] if c not in flat]:
         raise ValueError(f"no flat columns {bad}")
-    files = df.inputFiles()
-    if not files:
-        return spark.createDataFrame([], _result_schema(kinds[load]))
     texts = {c for c in columns if _number(kinds[c], F.col(f"`{c}`")) is None}
     free = [c for c in columns if c not in texts and c not in rules]
-    chunks = written(chunk_statistics(spark, files, columns if distinct else columns[:1], load, NARROW if distinct else 0), "chunks")
+    chunks = written(chunk_statistics(files_of(df), columns if distinct else columns[:1], load, NARROW if distinct else 0), "chunks")
     narrow = narrow_columns(chunks, free) if distinct and free else set()
     groups = chunks.select("file", "row_group").distinct()
     counted = written(scan(spark, groups, columns, load, texts | set(rules) | narrow, texts, [c for c in columns if isinstance(kinds[c], T.StringType)], distinct), "counts")
@@ -334,10 +331,6 @@ def narrow_columns(chunks: DataFrame, columns: list[str]) -> set[str]:
     return {r.column_name for r in union.where(F.col("k") <= NARROW).collect()}
 
 
-def _result_schema(kind: T.DataType) -> str:
-    return f"load_id {kind.simpleString()}, column_name string, n_rows bigint, n_null bigint, null_share double, n_distinct bigint, distinct_exact boolean, min_num double, max_num double, min_text string, max_text string, n_disallowed bigint, disallowed_share double, drift double"
-
-
 def _judged(no: int, c: str, kind: T.DataType, rule: Rule | None, text: bool) -> Column:
     """Of one column's counted value: whether it is allowed, the bucket it counts to, and its number."""
     v = F.col("value").try_cast(kind)
@@ -418,7 +411,7 @@ def footer_profile(spark: SparkSession, path: str, load: str, columns: list[str]
     df = spark.read.parquet(path)
     columns = columns or df.columns
     kinds = {f.name: f.dataType for f in df.schema}
-    ch = chunk_statistics(spark, df.inputFiles(), columns, load, 0)
+    ch = chunk_statistics(files_of(df), columns, load, 0)
     known = F.min(F.col("lo").isNotNull() | (F.coalesce(F.col("n_null"), F.lit(-1)) == F.col("n_rows")))
     is_num = F.col("column_name").isin([c for c in columns if numeric(kinds[c].simpleString())])
     out = ch.groupBy("column_name").agg(

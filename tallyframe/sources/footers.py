@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "file string, row_group int, n_rows bigint, column_name string, n_null bigint, lo string, hi string, load_lo string, load_hi string, load_nulls bigint, candidates array<string>"
@@ -132,10 +132,14 @@ def read_file(uri: str, columns: list[str], load: str, most: int) -> Iterator[tu
                     yield (uri, g, rg.num_rows, c, st.nulls, _text(st.lo), _text(st.hi), _text(ls.lo), _text(ls.hi), ls.nulls, None if values is None else [_text(v) for v in values])
 
 
-def chunk_statistics(spark: SparkSession, files: list[str], columns: list[str], load: str, most: int = 512) -> DataFrame:
-    """One row per column chunk. The driver only sends out the file names it has listed anyway."""
-    names = spark.createDataFrame([(f,) for f in files], "file string")
-    names = names.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)), F.col("file"))
+def files_of(df: DataFrame) -> DataFrame:
+    """(file): the files of a table that hold rows, by a scan that reads no column; no list of them passes through the driver."""
+    return df.select(F.col("_metadata.file_path").alias("file")).distinct()
+
+
+def chunk_statistics(files: DataFrame, columns: list[str], load: str, most: int = 512) -> DataFrame:
+    """One row per column chunk of ``files``."""
+    names = files.select("file").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, F.col("file"))
     order = [w.split()[0] for w in SCHEMA.split(", ")]
     types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string())]
 

@@ -88,7 +88,7 @@ def test_settled_chunks_arent_read(spark, data, monkeypatch):
 
 def test_dictionaries(spark, data):
     path, _ = data
-    rows = footers.chunk_statistics(spark, [f"file://{path}/f0.parquet"], ["code", "v"], "load_id").collect()
+    rows = footers.chunk_statistics(spark.createDataFrame([(f"file://{path}/f0.parquet",)], "file string"), ["code", "v"], "load_id").collect()
     assert len(rows) == 4
     for r in rows:
         assert set(r.candidates) == ({"a", "b"} if r.column_name == "code" else {"1", "2", "99"})
